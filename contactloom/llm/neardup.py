@@ -7,11 +7,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from contactloom.functions.grid import block_numbers, cell_candidates
 from contactloom.llm.groups import hash_to_min
 from contactloom.runtime import Scratch, hot_limit, join_unique
 
 #: Width of a block of positions that is compared in one place, and points to a task.
-BLOCK, POINTS_PER_TASK = 1024, 150_000
+BLOCK, POINTS_PER_TASK = 1024, 50_000
 SIDE = ["ca", "sa", "cb", "sb"]
 POINT = [*SIDE, "pa", "pb"]
 
@@ -46,35 +47,16 @@ def ring_edges(batch: pa.Table, quota: int) -> pa.Table:
     distinct. The chain test prunes them, then the full check compares each segment."""
     side = batch["side"].combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
     ba, bb, p, q, rep = (batch[c].to_numpy() for c in ("ba", "bb", "pa", "pb", "rep"))
-    order = np.lexsort((bb, ba, side))
-    side, ba, bb, p, q, rep = (x[order] for x in (side, ba, bb, p, q, rep))
-    new = np.r_[True, (side[1:] != side[:-1]) | (ba[1:] != ba[:-1]) | (bb[1:] != bb[:-1])]
-    block = np.cumsum(new) - 1
-    width = quota + 1
-    span = np.int64((BLOCK + quota) // width + 3)
-    x, y = (p - ba * BLOCK) // width + 1, (q - bb * BLOCK) // width + 1
-    cell = (block * span + x) * span + y
-    order = np.argsort(cell, kind="stable")
-    cell, p, q, rep = cell[order], p[order], q[order], rep[order]
-    at = np.arange(len(cell))
-    left, right = [], []
-    for step in (0, 1, span - 1, span, span + 1):
-        lo = at + 1 if step == 0 else np.searchsorted(cell, cell + step, "left")
-        hi = np.searchsorted(cell, cell + step, "right")
-        while True:
-            i = at[lo < hi]
-            if not len(i):
-                break
-            j = lo[i]
-            first = np.abs(p[i] - p[j])
-            second = np.abs(q[i] - q[j])
-            chain = (first <= quota) & (first + second <= 2 * quota) | (second <= quota) & (first + second <= 2 * quota)
-            full = chain & (first <= quota) & (second <= quota)
-            left.append(rep[i[full]])
-            right.append(rep[j[full]])
-            lo = lo + 1
-    empty = np.empty(0, np.int64)
-    return pa.table({"a": np.concatenate([*left, empty]), "b": np.concatenate([*right, empty])})
+    p, q = p - ba * BLOCK, q - bb * BLOCK
+    out = [(np.empty(0, np.int64),) * 2]
+    for i, j in cell_candidates(block_numbers(bb, ba, side), p, q, quota):
+        first, second = np.abs(p[i] - p[j]), np.abs(q[i] - q[j])
+        chain = (np.minimum(first, second) <= quota) & (first + second <= 2 * quota)
+        i, j, first, second = i[chain], j[chain], first[chain], second[chain]
+        full = (first <= quota) & (second <= quota)
+        out.append((rep[i[full]], rep[j[full]]))
+    a, b = (np.concatenate(x) for x in zip(*out))
+    return pa.table({"a": a, "b": b})
 
 
 def contact_groups(pairs: DataFrame, tolerance: int = 3) -> DataFrame:
