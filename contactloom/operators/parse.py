@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from contactloom.functions.predicates import compile_value
 from contactloom.operators.rowwise import chrom_rank
 from contactloom.operators.walks import TURNED, Alignment, WalkOptions, mismatches, molecule_contacts
+from contactloom.runtime import ship
 from contactloom.schema import EXTRA_COLUMNS, SAM_ENTRY_SEP, SAM_SEP, UNMAPPED_CHROM
 from contactloom.sources.sam import sam_table, tag
 
@@ -28,12 +29,10 @@ def _field_type(name: str) -> T.DataType:
 
 
 ALIGNMENT = T.StructType([T.StructField(f.name, _field_type(f.name)) for f in fields(Alignment)])
-CONTACTS = T.StructType(
-    [
-        T.StructField("molecule", T.LongType()), T.StructField("a1", ALIGNMENT), T.StructField("a2", ALIGNMENT),
-        T.StructField("walk_pair_index", T.IntegerType()), T.StructField("walk_pair_type", T.StringType()),
-    ]
-)
+CONTACT = [
+    T.StructField("a1", ALIGNMENT), T.StructField("a2", ALIGNMENT),
+    T.StructField("walk_pair_index", T.IntegerType()), T.StructField("walk_pair_type", T.StringType()),
+]
 
 
 def cigar_spans(cigar: Column) -> Column:
@@ -59,15 +58,20 @@ def alignments(sam: DataFrame, min_mapq: int = 1, tags: Sequence[str] = (), with
     """sam (see sam_table) with algn, a struct for each line, by column expressions. A line without the
     flag for unmapped is mapped, and unique if its mapping quality is at least min_mapq; other
     alignments have no position."""
-    sam = sam.withColumn("_c", cigar_spans(F.col("cigar")))
-    mapped = F.col("flag").bitwiseAND(4) == 0
-    unique = F.col("mapq") >= min_mapq
-    placed, plus, c = mapped & unique, F.col("flag").bitwiseAND(16) == 0, F.col("_c")
+    # each step is a projection of its own, so that the generated methods stay small enough to be compiled
+    sam = sam.withColumns(
+        {
+            "_c": cigar_spans(F.col("cigar")), "_mapped": F.col("flag").bitwiseAND(4) == 0,
+            "_unique": F.col("mapq") >= min_mapq, "_plus": F.col("flag").bitwiseAND(16) == 0,
+        }
+    ).withColumn("_placed", F.col("_mapped") & F.col("_unique"))
+    mapped, unique, placed, plus, c = (F.col(x) for x in ("_mapped", "_unique", "_placed", "_plus", "_c"))
     low, high = F.col("pos"), F.col("pos") - 1 + c["algn_ref_span"]
     end = lambda a, b: F.when(placed, F.when(plus, a).otherwise(b)).otherwise(0).cast("long")
     clip = lambda a, b: F.when(mapped, F.when(plus, c[a]).otherwise(c[b])).otherwise(0)
     differences = F.lit("")
     if with_mismatches:
+        ship(sam.sparkSession)
         differences = F.when(placed, _mismatch_udf()("seq", "qual", "cigar", tag(F.col("tags"), "MD"), "pos")).otherwise("")
     values = {
         "chrom": F.when(placed, F.col("rname")).otherwise(UNMAPPED_CHROM), "pos5": end(low, high), "pos3": end(high, low),
@@ -81,8 +85,9 @@ def alignments(sam: DataFrame, min_mapq: int = 1, tags: Sequence[str] = (), with
         "read_side": F.lit(0), "algn_idx": F.lit(0), "same_side_algn_count": F.lit(0),
     }
     parts = [values[f.name].cast(f.dataType).alias(f.name) for f in ALIGNMENT.fields]
-    soft = F.coalesce(F.regexp_extract("cigar", r"\A(?:\d+H)?(\d+)S", 1).try_cast("int"), F.lit(0))
-    return sam.withColumns({"algn": F.struct(*parts), "_start": soft}).drop("_c")
+    # a zero in front instead of a cast that fails, which would cost an exception for each line
+    soft = F.concat(F.lit("0"), F.regexp_extract("cigar", r"\A(?:\d+H)?(\d+)S", 1)).cast("int")
+    return sam.withColumns({"algn": F.struct(*parts), "_start": soft}).drop("_c", "_mapped", "_unique", "_plus", "_placed")
 
 
 def _mismatch_udf():
@@ -121,18 +126,25 @@ def molecules(algns: DataFrame, readid_transform: str | None = None) -> DataFram
 
 
 def _walk_batches(options: WalkOptions):
+    """Batches of molecules to batches of contacts; a molecule's other columns are taken along, once for
+    each of its contacts."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("molecule", pa.int64()), ("a1", _arrow()), ("a2", _arrow()), ("walk_pair_index", pa.int32()), ("walk_pair_type", pa.string())])
+        schema = pa.schema([("a1", _arrow()), ("a2", _arrow()), ("walk_pair_index", pa.int32()), ("walk_pair_type", pa.string())])
         for batch in batches:
-            out = []
-            for m, s1, s2 in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            out, at = [], []
+            for n, (s1, s2) in enumerate(zip(batch.column("side1").to_pylist(), batch.column("side2").to_pylist())):
                 left, right = ([Alignment(**{**a, "tags": {t["name"]: t["value"] for t in a["tags"]}}) for a in s] for s in (s1, s2))
                 for c in molecule_contacts(left, right, options)[0]:
-                    out.append({"molecule": m, "a1": asdict(c.left), "a2": asdict(c.right), "walk_pair_index": c.index, "walk_pair_type": c.kind})
+                    at.append(n)
+                    out.append({"a1": asdict(c.left), "a2": asdict(c.right), "walk_pair_index": c.index, "walk_pair_type": c.kind})
             for r in out:
                 for a in ("a1", "a2"):
                     r[a]["tags"] = [{"name": k, "value": v} for k, v in r[a]["tags"].items()]
-            yield from pa.Table.from_pylist(out, schema=schema).to_batches() if out else []
+            taken = pa.Table.from_batches([batch]).drop_columns(["side1", "side2"]).take(pa.array(at, pa.int64()))
+            for name, column in zip(schema.names, pa.Table.from_pylist(out, schema=schema).columns):
+                taken = taken.append_column(name, column)
+            yield from taken.combine_chunks().to_batches()
 
     return run
 
@@ -157,6 +169,7 @@ def contacts(reads: DataFrame, options: WalkOptions) -> DataFrame:
 
     Molecules with one alignment on each side and no gap before it, the bulk of a library, are parsed
     by column expressions; the others go through Arrow batches to the walk parser."""
+    ship(reads.sparkSession)
     gap = options.max_gap
     one = (F.size("side1") == 1) & (F.size("side2") == 1)
     for side in ("side1", "side2"):
@@ -171,10 +184,10 @@ def contacts(reads: DataFrame, options: WalkOptions) -> DataFrame:
             a = _turned(a, i in TURNED[options.orientation]["R1-2"], i in TURNED[options.position]["R1-2"])
         out[f"a{i}"] = F.struct(*[a[f.name].cast(f.dataType).alias(f.name) for f in ALIGNMENT.fields])
     index = {"walk_pair_index": F.lit(1), "walk_pair_type": F.lit("R1-2")}
-    plain = reads.filter(simple).withColumns({**out, **index})
+    plain = reads.filter(simple).withColumns({**out, **index}).drop("side1", "side2")
     others = reads.filter(~simple)
-    parsed = others.select("molecule", "side1", "side2").mapInArrow(_walk_batches(options), CONTACTS)
-    walks = others.join(parsed, "molecule")
+    kept = [f for f in reads.schema.fields if f.name not in ("side1", "side2")]
+    walks = others.mapInArrow(_walk_batches(options), T.StructType([*kept, *CONTACT]))
     return plain.unionByName(walks)
 
 
@@ -234,6 +247,7 @@ def parse_sam(
 def all_alignments(lines: DataFrame, options: WalkOptions | None = None, min_mapq: int = 1) -> DataFrame:
     """(readID, side, algn_idx, and what describes it) for each alignment of each molecule, before
     contacts are made of them."""
+    ship(lines.sparkSession)
     options = options or WalkOptions()
     reads = molecules(alignments(sam_table(lines), min_mapq))
     names = ["chrom", "pos5", "strand", "mapq", "cigar", "dist_to_5", "algn_read_span", "matched_bp"]

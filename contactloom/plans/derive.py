@@ -95,3 +95,30 @@ def tagged_sql() -> str:
             f"CASE WHEN {p} % 11 = 0 THEN 0 WHEN {p} % 3 = 0 THEN 2 ELSE 1 END AS hits{i}",
         ]
     return f'SELECT readid AS "readID", pos1, pos2, strand1, strand2, pair_type, pair_no, {", ".join(cols)} FROM pairs'
+
+
+def sam_lines(spark: SparkSession, sf_dir: str, chimeric: bool = False) -> DataFrame:
+    """SAM lines (value, _ord) that tell of the pairs: one alignment of 50 bases for each side, named
+    by pair_no. chimeric: the first side of every fourth molecule has a second part elsewhere."""
+    df = spark.read.parquet(f"{sf_dir}/pairs.parquet")
+    lines = []
+    for i, flag in ((1, 65), (2, 129)):
+        lines.append(_sam_line(i, F.lit(flag), F.lit("50M"), F.col(f"pos{i}"), F.col(f"chrom{i}") != "!", i))
+    if chimeric:
+        part = (F.col("pair_no") % 4 == 0) & (F.col("chrom1") != "!") & (F.col("chrom2") != "!")
+        lines[0] = _sam_line(1, F.lit(65), F.when(part, "25M25S").otherwise("50M"), F.col("pos1"), F.col("chrom1") != "!", 1)
+        lines.append(F.when(part, _sam_line(2, F.lit(2113), F.lit("25S25M"), F.col("pos2") + 300, F.lit(True), 3)))
+    out = df.select(F.explode(F.filter(F.array(*lines), lambda x: x.isNotNull())).alias("x"))
+    return out.select("x.value", "x._ord")
+
+
+def _sam_line(i: int, flag, cigar, pos, mapped, place: int):
+    back = F.col(f"strand{i}") == "-"
+    full = flag + F.when(mapped & back, 16).otherwise(0) + F.when(mapped, 0).otherwise(4)
+    start = F.when(mapped, F.when(back, F.greatest(pos - 49, F.lit(1))).otherwise(pos)).otherwise(0)
+    quality = F.when(mapped, F.coalesce(F.col(f"mapq{i}"), F.lit(60))).otherwise(0)
+    value = F.concat_ws(
+        "\t", F.concat(F.lit("q"), F.col("pair_no").cast("string")), full.cast("string"), F.when(mapped, F.col(f"chrom{i}")).otherwise("*"),
+        start.cast("string"), quality.cast("string"), F.when(mapped, cigar).otherwise("*"), F.lit("*"), F.lit("0"), F.lit("0"), F.lit("*"), F.lit("*"),
+    )
+    return F.struct(value.alias("value"), (F.col("pair_no") * 4 + place).alias("_ord"))

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from contactloom.functions.bins import geometric_edges, stats_edges
 from contactloom.operators import coverage, intervals, order, rowwise, scaling, stats
 from contactloom.operators.dedup import Dedup
+from contactloom.operators.parse import all_alignments, parse_sam
+from contactloom.operators.walks import POLICIES, WalkOptions
 from contactloom.plans import derive
 from contactloom.schema import PAIRS_COLUMNS
 
@@ -428,3 +430,47 @@ def scaling_dense(spark, d):
 def scaling_whole_chroms(spark, d):
     out = scaling.Scaling(derive.pairs(spark, d)).cis()
     return out.groupBy("chrom1", "min_dist").agg(F.sum("n_pairs").alias("n_pairs"))
+
+
+# --- parse ---------------------------------------------------------------------------------------
+
+
+def _parsed_sql() -> str:
+    side = """CASE WHEN chrom{i} = '!' OR coalesce(mapq{i}, 60) < 1 THEN '!' ELSE chrom{i} END AS chrom{i},
+ CASE WHEN chrom{i} = '!' OR coalesce(mapq{i}, 60) < 1 THEN 0 WHEN strand{i} = '-' THEN greatest(pos{i} - 49, 1) + 49 ELSE pos{i} END AS pos{i},
+ CASE WHEN chrom{i} = '!' OR coalesce(mapq{i}, 60) < 1 THEN '-' ELSE strand{i} END AS strand{i}"""
+    letter = "CASE WHEN chrom{i} = '!' THEN 'N' WHEN coalesce(mapq{i}, 60) < 1 THEN 'M' ELSE 'U' END"
+    return f"SELECT 'q' || pair_no AS \"readID\", {side.format(i=1)}, {side.format(i=2)}, {letter.format(i=1)} || {letter.format(i=2)} AS pair_type FROM pairs"
+
+
+@query(_parsed_sql())
+def parse(spark, d):
+    chroms = derive.chrom_order(spark, d, 10**9)
+    return parse_sam(derive.sam_lines(spark, d), chroms, flip=False, drop_sam=True).drop("_ord")
+
+
+def _walks(name: str, options: WalkOptions) -> None:
+    def run(spark, d):
+        lines = derive.sam_lines(spark, d, chimeric=True)
+        return parse_sam(lines, derive.chrom_order(spark, d, 10**9), options, drop_sam=True, add_pair_index=True).drop("_ord")
+
+    run.__name__ = name
+    query()(run)
+
+
+for _policy in POLICIES:
+    _walks(f"parse_walks_{_policy}", WalkOptions(policy=_policy))
+_walks("parse2_outer", WalkOptions(parse2=True, max_size=500))
+_walks("parse2_junction", WalkOptions(parse2=True, max_size=500, position="junction", orientation="junction"))
+_walks("parse2_expand", WalkOptions(parse2=True, max_size=500, expand=True))
+
+
+@query()
+def parsed_alignments(spark, d):
+    return all_alignments(derive.sam_lines(spark, d, chimeric=True))
+
+
+@query(f"WITH x AS ({_parsed_sql()}), p AS (SELECT *, 0 AS pair_no FROM x), "
+       + _counts_sql("").removeprefix("WITH , "))
+def parse_stats(spark, d):
+    return stats.PairStats(parse(spark, d)).counts()

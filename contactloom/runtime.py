@@ -7,7 +7,9 @@ import atexit
 import shutil
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Sequence
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -19,6 +21,26 @@ HOT_SHARE = 512
 _local_dirs: dict[str, str] = {}
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Gives the executors this package for their Python workers, once for each application, so that
+    jobs run wherever the package is importable on the driver only."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    _shipped.add(sc.applicationId)
+    package = Path(__file__).resolve().parent
+    folder = tempfile.mkdtemp(prefix="contactloom-")
+    atexit.register(shutil.rmtree, folder, True)
+    at = f"{folder}/contactloom-{sc.applicationId}.zip"
+    with zipfile.ZipFile(at, "w") as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent))
+    sc.addPyFile(at)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, from spark.checkpoint.dir. Only a plain local session
     without that setting gets a temporary folder of its own."""
@@ -42,6 +64,7 @@ class Scratch:
     result and go when the Python process ends."""
 
     def __init__(self, spark: SparkSession, name: str):
+        ship(spark)
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.n = 0
