@@ -10,8 +10,10 @@ import ast
 import re
 from collections.abc import Mapping, Sequence
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 DEFAULT_CASTS = {"pos1": "int", "pos2": "int", "mapq1": "int", "mapq2": "int"}
 SPARK_TYPES = {"int": "bigint", "float": "double", "str": "string", "bool": "boolean"}
@@ -315,9 +317,6 @@ def compile_value(text: str, columns: Sequence[str], casts: Mapping[str, str] |
 def python_condition(text: str, columns: Sequence[str], casts: Mapping[str, str] | None = None, startup: str | None = None) -> Column:
     """The condition evaluated by Python on Arrow batches. It runs the given code, so callers ask the
     user first; startup is run once for each task."""
-    import pandas as pd
-    from pyspark.sql import types as T
-
     kinds = {**DEFAULT_CASTS, **(casts or {})}
     cols = list(columns)
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 from dataclasses import asdict, fields
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -93,8 +94,6 @@ def alignments(sam: DataFrame, min_mapq: int = 1, tags: Sequence[str] = (), with
 def _mismatch_udf():
     import re
 
-    import pandas as pd
-
     @F.pandas_udf(T.StringType())
     def run(seq: pd.Series, qual: pd.Series, cigar: pd.Series, md: pd.Series, pos: pd.Series) -> pd.Series:
         out = []

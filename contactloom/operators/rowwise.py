@@ -95,8 +95,9 @@ def wrong_order(df: DataFrame, order: Sequence[str], keep_equal_unlisted: bool =
     both = F.struct(r1.alias("r"), F.col("pos1").cast("long").alias("p")) > F.struct(r2.alias("r"), F.col("pos2").cast("long").alias("p"))
     names = F.col("chrom1") > F.col("chrom2") if keep_equal_unlisted else F.col("chrom1") >= F.col("chrom2")
     listed1, listed2 = r1.isNotNull(), r2.isNotNull()
-    out = F.when(listed1 & listed2, both).when(listed1, F.lit(False)).when(listed2, F.lit(True)).otherwise(names)
-    return F.coalesce(out, F.lit(False))
+    known = F.col("chrom1").isNotNull() & F.col("chrom2").isNotNull() & F.col("pos1").isNotNull() & F.col("pos2").isNotNull()
+    out = F.when(~known, F.lit(False)).when(listed1 & listed2, both).when(listed1, F.lit(False)).when(listed2, F.lit(True)).otherwise(names)
+    return out
 
 
 def flip(df: DataFrame, order: Sequence[str], keep_equal_unlisted: bool = False) -> DataFrame:
