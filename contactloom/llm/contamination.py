@@ -44,26 +44,28 @@ class PositionalIndex:
         self.postings = self.scratch.write(spread.join(ids, "term").select("t", "doc", "pos").filter("doc is not null"))
         self.item_words = self.scratch.write(self.item_words.join(ids, "term").select("item", "at", "t"))
 
-    def anchors(self, length: int) -> DataFrame:
-        """(t, item, at): of each run of length words of an item, the term rarest in the corpus."""
+    def anchors(self, length: Column) -> DataFrame:
+        """(t, item, at): of each run of length words of an item, the term rarest in the corpus; length
+        may depend on words, an item's number of words. Items are few and short, so an item is one row."""
         frequency = self.item_words.select("t").distinct().join(
             self.postings.groupBy("t").agg(F.count(F.lit(1)).alias("n")), "t", "left"
         )
-        w = W.partitionBy("item").orderBy("at")
-        rated = self.item_words.join(frequency, "t").withColumn("n", F.coalesce("n", F.lit(0)))
-        run = w.rowsBetween(0, length - 1)
-        rated = rated.withColumn("rarest", F.min(F.struct("n", "t", "at")).over(run)).withColumn("size", F.count("at").over(run))
-        picked = rated.filter((F.col("size") == length) & (F.col("rarest.n") > 0))
-        return picked.select(F.col("rarest.t").alias("t"), "item", F.col("rarest.at").alias("at")).distinct()
-
-    def offsets(self, length: int) -> DataFrame:
+        rated = self.item_words.join(frequency, "t").select("item", F.struct("at", F.coalesce("n", F.lit(0)).alias("n"), "t").alias("w"))
+        whole = rated.groupBy("item").agg(F.array_sort(F.collect_list("w")).alias("w")).withColumn("words", F.size("w"))
+        ranked = F.transform("w", lambda x: F.struct(x["n"], x["t"], x["at"]))
+        whole = whole.withColumns({"w": ranked, "length": length}).filter("length <= words")
+        runs = F.transform(F.sequence(F.lit(1), F.col("words") - F.col("length") + 1), lambda i: F.array_min(F.slice(F.col("w"), i, F.col("length"))))
+        picked = whole.select("item", F.explode(F.array_distinct(runs)).alias("r")).filter("r.n > 0")
+        return picked.select("r.t", "item", "r.at").distinct()
+
+    def offsets(self, length: Column) -> DataFrame:
         """(doc, item, shift): where the rarest terms put an item in a document, shift being the
         position in the document less that in the item."""
         anchors = self.scratch.write(self.anchors(length))
         found = self.postings.join(anchors, "t").select("doc", "item", (F.col("pos") - F.col("at")).alias("shift"))
         return self.scratch.write(found.distinct())
 
-    def hits(self, length: int) -> DataFrame:
+    def hits(self, length: Column) -> DataFrame:
         """(doc, item, shift, at): every word of an item met at its place, along the offsets. The
         posting lists of the item's terms, moved by their place in the item, are intersected."""
         offsets = self.offsets(length)
@@ -81,7 +83,7 @@ def phrase_matches(index: PositionalIndex, length: int = 12) -> DataFrame:
     corpus or query set gives an empty result; repeated documents each have their rows."""
     w = W.partitionBy("doc", "item", "shift").orderBy("at")
     runs = (
-        index.hits(length)
+        index.hits(F.lit(length))
         .distinct()
         .withColumn("run", F.col("at") - F.row_number().over(w))
         .groupBy("doc", "item", "shift", "run")
@@ -91,15 +93,19 @@ def phrase_matches(index: PositionalIndex, length: int = 12) -> DataFrame:
     return runs.groupBy(F.col("doc").alias("doc_id"), F.col("item").alias("item_id")).agg(F.max("n").alias("longest"))
 
 
-def proximity_matches(index: PositionalIndex, length: int = 12, share: float = 0.8) -> DataFrame:
+def proximity_matches(index: PositionalIndex, share: float = 0.8) -> DataFrame:
     """(doc_id, item_id, met, words): documents in which at least share of an item's words stand at
-    their places relative to each other, words between being changed. Candidates come from the same
-    rarest terms as for phrases."""
+    their places relative to each other, other words having been changed.
+
+    Of words words, d may differ; so at least floor((words - d) / (d + 1)) successive ones are right,
+    and the rarest term of each run of that many gives candidates that miss no such document."""
+    need = F.ceil(F.col("words") * F.lit(share)).cast("int")
+    run = F.greatest(F.lit(1), F.floor(need / (F.col("words") - need + 1))).cast("int")
     sizes = index.item_words.groupBy("item").agg(F.count(F.lit(1)).alias("words"))
-    met = index.hits(length).distinct().groupBy("doc", "item", "shift").agg(F.count(F.lit(1)).alias("met"))
+    met = index.hits(run).distinct().groupBy("doc", "item", "shift").agg(F.count(F.lit(1)).alias("met"))
     best = met.groupBy("doc", "item").agg(F.max("met").alias("met"))
     return (
         best.join(sizes, "item")
-        .filter(F.col("met") >= F.ceil(F.col("words") * F.lit(share)))
+        .filter(F.col("met") >= need)
         .select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"), "met", "words")
     )

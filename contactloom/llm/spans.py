@@ -128,28 +128,17 @@ def _common(a: np.ndarray, i: int, b: np.ndarray, j: int) -> int:
     return max(n, 0)
 
 
-def _aligned(found: np.ndarray, breaks, q: int, block: int) -> np.ndarray:
-    """Of the places (sorted) where a block that stands at q of a segment is met in one other segment,
-    those that can give the longest common run. Places no farther apart than half a block are a
-    progression by the block's period p: both segments have a periodic stretch there, and alignments
-    differ only in what the stretches' ends meet. So of a progression only the place that aligns the
-    left ends, the one that aligns the right ends, and the first and last place count.
-    breaks(p): the places t of the query's segment with seg[t] != seg[t + p]."""
-    if len(found) < 4:
-        return found
-    out = []
-    for part in np.split(found, np.nonzero(np.diff(found) > block // 2)[0] + 1):
-        if len(part) < 4:
-            out.append(part)
-            continue
-        p = int(part[1] - part[0])
-        at = breaks(p)
-        i, j = int(np.searchsorted(at, q)), int(np.searchsorted(at, q + block - p))
-        left = q - 1 - int(at[i - 1])
-        right = int(at[j]) - (q + block - p)
-        n = len(part) - 1
-        out.append(part[sorted({0, n, min(n, left // p), max(0, n - right // p)})])
-    return np.concatenate(out)
+def _stretch(breaks: np.ndarray, at: int, block: int, p: int) -> tuple[int, int]:
+    """The stretch with period p around a block that stands at at. breaks: see _breaks."""
+    i, j = int(np.searchsorted(breaks, at)), int(np.searchsorted(breaks, at + block - p))
+    return int(breaks[i - 1]) + 1, int(breaks[j]) + p
+
+
+def _progressions(found: np.ndarray, block: int) -> list[np.ndarray]:
+    """The places (sorted) where a block is met in one segment, cut so that places in one part are no
+    farther apart than half a block. The places of a part of more than one are a progression by the
+    block's period, as both segments have a stretch of that period there."""
+    return np.split(found, np.nonzero(np.diff(found) > block // 2)[0] + 1)
 
 
 def _breaks(kept: dict, s: int, seg: np.ndarray, p: int) -> np.ndarray:
@@ -160,8 +149,9 @@ def _breaks(kept: dict, s: int, seg: np.ndarray, p: int) -> np.ndarray:
 
 
 def shared_runs(shard: pa.Table, length: int) -> pa.Table:
-    """All maximal runs of at least length symbols that a query segment shares with a segment of
-    another document in the shard's index. Any such run holds a whole block of the query's segment,
+    """The runs of at least length symbols that a query segment shares with a segment of another
+    document in the shard's index: all maximal ones, and within periodic stretches what all alignments
+    together cover on either side (length_1 and length_2 then differ). Any such run holds a whole block of the query's segment,
     half of length long; the blocks are searched backwards in the FM-index, each place met is
     extended both ways, and intervals above the threshold come out."""
     docs, starts = shard["doc"].to_pylist(), shard["start"].to_pylist()
@@ -170,7 +160,7 @@ def shared_runs(shard: pa.Table, length: int) -> pa.Table:
     alphabet = np.unique(np.concatenate(texts))
     texts = [np.searchsorted(alphabet, t).astype(np.int64) + 1 for t in texts]
     indexed, asked = [i for i, r in enumerate(role) if r != 2], [i for i, r in enumerate(role) if r != 1]
-    out: list[tuple[int, int, int, int, int]] = []
+    out: list[tuple[int, ...]] = []
     block = length // 2
     rows = [(s, q) for s in asked for q in range(0, len(texts[s]) - block + 1, block)]
     if indexed and rows:
@@ -189,17 +179,32 @@ def shared_runs(shard: pa.Table, length: int) -> pa.Table:
                 if docs[t] == docs[s] or both and docs[t] < docs[s]:
                     continue
                 local = places[part] - index.starts[which[part[0]]]
-                for p in _aligned(local, lambda p, s=s: _breaks(periods, s, texts[s], p), q, block).tolist():
-                    if (s, t, p - q, q) in seen:
-                        continue
-                    left = _common(texts[s][:q][::-1], 0, texts[t][:p][::-1], 0)
-                    right = _common(texts[s], q, texts[t], p)
-                    seen.update((s, t, p - q, x) for x in range(q, q + right - block + 1, block))
-                    if left + right >= length:
-                        out.append((docs[s], docs[t], starts[s] + q - left, starts[t] + p - left, left + right))
+                for places_p in _progressions(local, block):
+                    chosen = places_p
+                    if len(places_p) > 3:
+                        # alignments within two periodic stretches differ only in what their ends meet
+                        p = int(places_p[1] - places_p[0])
+                        u, v = _stretch(_breaks(periods, s, texts[s], p), q, block, p)
+                        x, y = _stretch(_breaks(periods, t, texts[t], p), int(places_p[0]), block, p)
+                        last = len(places_p) - 1
+                        chosen = places_p[sorted({0, last, min(last, (q - u) // p), max(0, last - (v - q - block) // p)})]
+                        shift = places_p - q
+                        fits = shift[np.minimum(y, v + shift) - np.maximum(x, u + shift) >= length]
+                        if len(fits):  # each alignment moves the common run by a period, so what they cover is whole
+                            d1, d2 = int(fits[0]), int(fits[-1])
+                            own, other = (max(x - d2, u), min(y - d1, v)), (max(x, u + d1), min(y, v + d2))
+                            out.append((docs[s], docs[t], starts[s] + own[0], starts[t] + other[0], own[1] - own[0], other[1] - other[0]))
+                    for p in chosen.tolist():
+                        if (s, t, p - q, q) in seen:
+                            continue
+                        left = _common(texts[s][:q][::-1], 0, texts[t][:p][::-1], 0)
+                        right = _common(texts[s], q, texts[t], p)
+                        seen.update((s, t, p - q, x) for x in range(q, q + right - block + 1, block))
+                        if left + right >= length:
+                            out.append((docs[s], docs[t], starts[s] + q - left, starts[t] + p - left, left + right, left + right))
     out = list(dict.fromkeys(out))
-    names = ["doc_1", "doc_2", "start_1", "start_2", "length"]
-    columns = list(zip(*out)) if out else [()] * 5
+    names = ["doc_1", "doc_2", "start_1", "start_2", "length_1", "length_2"]
+    columns = list(zip(*out)) if out else [()] * 6
     return pa.table([pa.array(c, pa.int64()) for c in columns], names=names)
 
 
@@ -262,7 +267,7 @@ class SharedSpans:
         )
         self.runs = scratch.write(
             segments.groupBy("shard", "i", "j").applyInArrow(
-                lambda t: shared_runs(t, length), "doc_1 long, doc_2 long, start_1 long, start_2 long, length long"
+                lambda t: shared_runs(t, length), "doc_1 long, doc_2 long, start_1 long, start_2 long, length_1 long, length_2 long"
             )
         )
         self.documents, self.doc, self.text = documents, doc, text
@@ -275,7 +280,7 @@ class SharedSpans:
     def spans(self) -> DataFrame:
         """(doc_id, start, end): the stretches of a document that stand in other documents too, in
         code points, first inclusive, last exclusive, touching ones merged."""
-        ends = lambda i: F.struct(F.col(f"doc_{i}").alias("doc_id"), F.col(f"start_{i}").alias("start"), (F.col(f"start_{i}") + F.col("length")).alias("end"))
+        ends = lambda i: F.struct(F.col(f"doc_{i}").alias("doc_id"), F.col(f"start_{i}").alias("start"), (F.col(f"start_{i}") + F.col(f"length_{i}")).alias("end"))
         each = self.runs.select(F.explode(F.array(ends(1), ends(2))).alias("x")).select("x.*").distinct()
         w = W.partitionBy("doc_id").orderBy("start", "end")
         reach = F.max("end").over(w.rowsBetween(W.unboundedPreceding, -1))
