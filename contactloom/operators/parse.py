@@ -238,11 +238,15 @@ def parse_sam(
         out |= {"walk_pair_index": F.col("walk_pair_index"), "walk_pair_type": F.col("walk_pair_type")}
     for c in add_columns:
         for i, x in ((1, a), (2, b)):
-            own = F.get(F.filter(x["tags"], lambda t, c=c: t["name"] == c), F.lit(0))["value"]
-            out[f"{c}{i}"] = F.coalesce(own, F.lit("")) if c in tags else x[c]
+            out[f"{c}{i}"] = _own_tag(x, c) if c in tags else x[c]
     return found.select(*[v.alias(k) for k, v in out.items()], F.col("molecule").alias("_ord"))
 
 
+def _own_tag(algn: Column, name: str) -> Column:
+    found = F.filter(algn["tags"], lambda t: t["name"] == name)
+    return F.coalesce(F.get(found, F.lit(0))["value"], F.lit(""))
+
+
 def all_alignments(lines: DataFrame, options: WalkOptions | None = None, min_mapq: int = 1) -> DataFrame:
     """(readID, side, algn_idx, and what describes it) for each alignment of each molecule, before
     contacts are made of them."""

@@ -101,12 +101,12 @@ class PairStats:
         return grid.join(found, ["filter", "strands", "min_dist"], "left").withColumn("value", F.coalesce("value", F.lit(0).cast("long")))
 
     def long(self) -> DataFrame:
-        """Everything above as (filter, key, value)."""
+        """Everything above as (filter, key, value); a missing pair type is written as '.'."""
         labels = [f"{a}-{b}" for a, b in zip(self.edges, self.edges[1:])] + [f"{self.edges[-1]}+"]
         label = F.create_map(*[x for e, t in zip(self.edges, labels) for x in (F.lit(e).cast("long"), F.lit(t))])
         return (
             self.counts()
-            .unionByName(self.pair_types().select("filter", F.concat(F.lit("pair_types/"), "pair_type").alias("key"), "value"))
+            .unionByName(self.pair_types().select("filter", F.concat(F.lit("pair_types/"), F.coalesce("pair_type", F.lit("."))).alias("key"), "value"))
             .unionByName(self.chrom_freq().select("filter", F.concat_ws("/", F.lit("chrom_freq"), "chrom1", "chrom2").alias("key"), "value"))
             .unionByName(
                 self.dist_freq().select("filter", F.concat_ws("/", F.lit("dist_freq"), label[F.col("min_dist")], "strands").alias("key"), "value")
