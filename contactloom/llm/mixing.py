@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from contactloom.runtime import Scratch, join_unique
 
 #: Tokens left to the dynamic programme at most, and rows of one length that are ranked in one place.
-EXACT_BUDGET, RANKED_ROWS = 1 << 20, 4096
+EXACT_BUDGET, RANKED_ROWS = 1 << 16, 4096
 
 
 def blank_tokens(text: str = "text") -> Column:
