@@ -30,6 +30,7 @@ class PositionalIndex:
         vocabulary_limit: int = 100_000,
     ):
         self.scratch = Scratch(documents.sparkSession, "index")
+        self.limit = vocabulary_limit
         self.item_words = self.scratch.write(
             items.select(F.col(item).alias("item"), F.posexplode(words(text)).alias("at", "term")).filter("item is not null")
         )
@@ -65,10 +66,26 @@ class PositionalIndex:
         found = self.postings.join(anchors, "t").select("doc", "item", (F.col("pos") - F.col("at")).alias("shift"))
         return self.scratch.write(found.distinct())
 
-    def hits(self, length: Column) -> DataFrame:
+    def run_offsets(self, length: int) -> DataFrame:
+        """(doc, item, shift) as offsets, but only where a whole run of length words stands as in the
+        item: the posting lists of successive terms are intersected before anything is expanded. A
+        doc must name one text; repeated rows of it count once."""
+        terms = [f"t{k}" for k in range(length)]
+
+        def runs(rows: DataFrame, key: str, place: str) -> DataFrame:
+            w = W.partitionBy(key).orderBy(place)
+            out = rows.select(key, place, *[F.lead("t", k).over(w).alias(t) for k, t in enumerate(terms)], F.lead(place, length - 1).over(w).alias("last"))
+            return out.filter(F.col("last") == F.col(place) + (length - 1)).drop("last")
+
+        texts = self.postings.repartition("doc").dropDuplicates(["doc", "pos", "t"])
+        items = self.scratch.write(runs(self.item_words, "item", "at"))
+        items = F.broadcast(items) if items.count() <= self.limit else items
+        found = runs(texts, "doc", "pos").join(items, terms).select("doc", "item", (F.col("pos") - F.col("at")).alias("shift"))
+        return self.scratch.write(found.distinct())
+
+    def hits(self, offsets: DataFrame) -> DataFrame:
         """(doc, item, shift, at): every word of an item met at its place, along the offsets. The
         posting lists of the item's terms, moved by their place in the item, are intersected."""
-        offsets = self.offsets(length)
         expected = offsets.join(self.item_words, "item").select(
             "doc", "item", "shift", "at", "t", (F.col("shift") + F.col("at")).alias("pos")
         )
@@ -83,7 +100,7 @@ def phrase_matches(index: PositionalIndex, length: int = 12) -> DataFrame:
     corpus or query set gives an empty result; repeated documents each have their rows."""
     w = W.partitionBy("doc", "item", "shift").orderBy("at")
     runs = (
-        index.hits(F.lit(length))
+        index.hits(index.offsets(F.lit(length)))
         .distinct()
         .withColumn("run", F.col("at") - F.row_number().over(w))
         .groupBy("doc", "item", "shift", "run")
@@ -98,11 +115,12 @@ def proximity_matches(index: PositionalIndex, share: float = 0.8) -> DataFrame:
     their places relative to each other, other words having been changed.
 
     Of words words, d may differ; so at least floor((words - d) / (d + 1)) successive ones are right,
-    and the rarest term of each run of that many gives candidates that miss no such document."""
+    and the runs of that many words, for the item for which that is least, miss no such document."""
     need = F.ceil(F.col("words") * F.lit(share)).cast("int")
     run = F.greatest(F.lit(1), F.floor(need / (F.col("words") - need + 1))).cast("int")
     sizes = index.item_words.groupBy("item").agg(F.count(F.lit(1)).alias("words"))
-    met = index.hits(run).distinct().groupBy("doc", "item", "shift").agg(F.count(F.lit(1)).alias("met"))
+    least = sizes.agg(F.min(run)).first()[0] or 1
+    met = index.hits(index.run_offsets(least)).distinct().groupBy("doc", "item", "shift").agg(F.count(F.lit(1)).alias("met"))
     best = met.groupBy("doc", "item").agg(F.max("met").alias("met"))
     return (
         best.join(sizes, "item")
