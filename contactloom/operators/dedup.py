@@ -73,13 +73,13 @@ class Dedup:
         self.clusters = self._clusters(max_mismatch, method, backend)
 
     def _clusters(self, reach: int, method: str, backend: str) -> DataFrame:
-        """(point, kept): for points of several rows or near others, the first row of the cluster."""
+        """(point, _kept): for points of several rows or near others, the first row of the cluster."""
         points = self.rows.groupBy(*self.point).agg(F.min("_first").alias("first"), F.count(F.lit(1)).alias("n"))
         points = self.scratch.write(points.withColumn("pid", F.monotonically_increasing_id()))
         size = points.agg(F.count(F.lit(1)).alias("points"), F.sum("n").alias("rows"), F.max("n").alias("most")).first()
         self.hot_above = hot_limit(size["rows"]) if (size["most"] or 0) > hot_limit(size["rows"]) else None
         if reach == 0:
-            return points.filter("n > 1").select(*self.point, "n", F.col("first").alias("kept"))
+            return points.filter("n > 1").select(*self.point, "n", F.col("first").alias("_kept"))
         spark = self.df.sparkSession
         tasks = max(1, size["points"] // POINTS_PER_TASK, min(spark.sparkContext.defaultParallelism, size["points"] // 5000))
         blocks = lambda c: F.array_distinct(F.array(F.floor(c / BLOCK), F.floor((c - reach) / BLOCK)))
@@ -95,8 +95,8 @@ class Dedup:
         joined = joined.withColumn("root", F.coalesce("root", "pid"))
         if backend == "greedy":
             return self._greedy(joined, reach, method, tasks)
-        kept = joined.groupBy("root").agg(F.min("first").alias("kept"))
-        return self.scratch.write(joined.join(kept, "root").select(*self.point, "n", "kept"))
+        kept = joined.groupBy("root").agg(F.min("first").alias("_kept"))
+        return self.scratch.write(joined.join(kept, "root").select(*self.point, "n", "_kept"))
 
     def _greedy(self, joined: DataFrame, reach: int, method: str, tasks: int) -> DataFrame:
         """A leader removes points of its component only, so components are gone through one by one,
@@ -114,17 +114,17 @@ class Dedup:
         ranked = joined.withColumn("rank", F.row_number().over(W.partitionBy("root").orderBy("_pa", "_pb", "first")))
         led = ranked.select("root", "rank", "_pa", "_pb", "pid", F.pmod(F.xxhash64("root"), F.lit(tasks)).alias("task"))
         leaders = led.groupBy("task").applyInPandas(run, "pid long, leader long")
-        firsts = joined.select(F.col("pid").alias("leader"), F.col("first").alias("kept"))
-        return self.scratch.write(joined.join(leaders, "pid").join(firsts, "leader").select(*self.point, "n", "kept"))
+        firsts = joined.select(F.col("pid").alias("leader"), F.col("first").alias("_kept"))
+        return self.scratch.write(joined.join(leaders, "pid").join(firsts, "leader").select(*self.point, "n", "_kept"))
 
     def marked(self) -> DataFrame:
         """All mapped pairs with duplicate (true for all but the kept one of a cluster) and
         parent_readID (the kept one's name; a pair's own name if it is kept or alone)."""
         hot = self.clusters.filter(F.col("n") > self.hot_above).select(*self.point) if self.hot_above else []
         out = join_unique(self.rows, self.clusters.drop("n"), self.point, "left", hot=hot)
-        out = out.withColumn("duplicate", F.coalesce(F.col("_row") != F.col("kept.row"), F.lit(False)))
-        parent = F.coalesce(F.col("kept.id"), F.col(self.read_id))
-        return out.withColumn("parent_readID", parent).drop(*self.point, "_first", "_row", "kept")
+        out = out.withColumn("duplicate", F.coalesce(F.col("_row") != F.col("_kept.row"), F.lit(False)))
+        parent = F.coalesce(F.col("_kept.id"), F.col(self.read_id))
+        return out.withColumn("parent_readID", parent).drop(*self.point, "_first", "_row", "_kept")
 
     def split(self, mark_dups: bool = True, keep_parent_id: bool = False) -> dict[str, DataFrame]:
         """{dedup, dups, unmapped}. mark_dups: duplicates get pair type DD, in SAM entries too.

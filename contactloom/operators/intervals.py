@@ -33,18 +33,15 @@ def locate(df: DataFrame, chrom: str, pos: Column, intervals: DataFrame, name: s
     rows first reduced to their distinct positions, so no hot place makes a task long."""
     table, width = _bucketed(intervals)
     fields = F.struct(*[F.col(c) for c in intervals.columns if c != "chrom"]).alias("_hit")
-    table = table.select(F.col("chrom").alias("_chrom"), "_bucket", "lo", "hi", fields)
+    table = table.select(F.col("chrom").alias("_chrom"), "_bucket", F.col("lo").alias("_lo"), F.col("hi").alias("_hi"), fields)
     at = df.withColumn("_pos", pos).withColumn("_b", F.floor(F.col("_pos") / width))
-    on = (F.col(chrom) == F.col("_chrom")) & (F.col("_b") == F.col("_bucket")) & (F.col("_pos") >= F.col("lo")) & (F.col("_pos") < F.col("hi"))
-    extra = ["_chrom", "_bucket", "lo", "hi", "_hit", "_pos", "_b"]
+    on = (F.col(chrom) == F.col("_chrom")) & (F.col("_b") == F.col("_bucket")) & (F.col("_pos") >= F.col("_lo")) & (F.col("_pos") < F.col("_hi"))
+    extra = ["_chrom", "_bucket", "_lo", "_hi", "_hit", "_pos", "_b"]
     if table.count() <= BROADCAST_ROWS:
-        clash = {c for c in ("lo", "hi") if c in df.columns}
-        if clash:
-            raise ValueError(f"columns {sorted(clash)} clash with those of intervals")
         return at.join(F.broadcast(table), on, "left").withColumn(name, F.col("_hit")).drop(*extra)
     places = at.select(F.col(chrom).alias("_c"), "_pos", "_b").distinct()
     hits = places.join(
-        table, (F.col("_c") == F.col("_chrom")) & (F.col("_b") == F.col("_bucket")) & (F.col("_pos") >= F.col("lo")) & (F.col("_pos") < F.col("hi"))
+        table, (F.col("_c") == F.col("_chrom")) & (F.col("_b") == F.col("_bucket")) & (F.col("_pos") >= F.col("_lo")) & (F.col("_pos") < F.col("_hi"))
     ).select(F.col("_c").alias("_k"), "_pos", F.col("_hit").alias(name))
     keyed = at.withColumn("_k", F.col(chrom))
     return join_unique(keyed, hits, ["_k", "_pos"], "left").drop("_k", "_pos", "_b")

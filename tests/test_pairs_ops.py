@@ -56,7 +56,7 @@ def test_dedup_of_equal_rows_nulls_and_empty(frame, spark):
     assert {k: v.count() for k, v in parts.items()} == {"dedup": 2, "dups": 49, "unmapped": 2}
     assert {r.pair_type for r in parts["dups"].collect()} == {"DD"}
     assert Dedup(frame([], PAIRS)).marked().count() == 0
-    extra = frame([(*r, "note", 1) for r in rows], PAIRS + ", duplicate_of string, n int")
+    extra = frame([(*r, "note", 1, "x") for r in rows], PAIRS + ", root string, n int, kept string")
     assert Dedup(extra).marked().count() == 51
 
 
@@ -157,6 +157,8 @@ def test_restrict_and_regions(frame):
     assert list(map(out.get, [f"r{i}" for i in range(9)])) == [
         (0, 0, 101), (0, 0, 101), (1, 101, 501), (2, 501, 10001), (2, 501, 10001), (1, 201, 10001), (-1, 0, 0), (-1, 0, 0), (1, 101, 501),
     ]
+    clash = df.withColumns({c: F.lit("x") for c in ("lo", "hi", "idx", "chrom", "start", "end")})
+    assert intervals.restrict(clash, bed).filter("rfrag1 = 2").count() == 2
     regions = frame([("chr1", 0, 100), ("chr1", 200, 700)], "chrom string, start long, end long")
     got = {r.readID: (r.start1, r.end1) for r in intervals.assign_regions(df, regions).collect()}
     assert (got["r0"], got["r1"], got["r3"], got["r5"]) == ((0, 100), (-1, -1), (200, 700), (-1, -1))
