@@ -38,6 +38,24 @@ def within(dp: np.ndarray, dq: np.ndarray, reach: int, method: str) -> np.ndarra
     return np.maximum(dp, dq) <= reach if method == "max" else dp + dq <= reach
 
 
+def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The links (a, b) replaced by links of each number with the least one of its component."""
+    nodes, at = np.unique(np.concatenate((a, b)), return_inverse=True)
+    i, j = at[: len(a)], at[len(a) :]
+    label = np.arange(len(nodes))
+    while True:
+        least = np.minimum(label[i], label[j])
+        new = label.copy()
+        np.minimum.at(new, i, least)
+        np.minimum.at(new, j, least)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    own = label != np.arange(len(nodes))
+    return nodes[own], nodes[label[own]]
+
+
 def block_numbers(*keys: np.ndarray) -> np.ndarray:
     """A number from 0 for each distinct combination of keys."""
     order = np.lexsort(keys)

@@ -12,16 +12,17 @@ def contract(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(vertex, root) for each vertex of the edges (a, b), root being the same for all vertices of a
     component and one of them.
 
-    In a round every vertex is merged into whichever of itself and its neighbours has the least hash,
-    another hash in each round; links between merged vertices go on to the next round. A share of the
-    vertices disappears each time, so rounds grow with the logarithm of the largest component. Nothing
-    but links is ever grouped, and those with partial sums."""
+    In a round every vertex is merged into whichever of itself and its neighbours comes first; links
+    between merged vertices go on to the next round. In the first two rounds the order is the vertices'
+    own, which ends stars around a least vertex at once; after that it is another hash in each round, so
+    that a share of the vertices disappears each time and rounds grow with the logarithm of the largest
+    component. Nothing but links is ever grouped, and those with partial sums."""
     edges = scratch.write(edges.select("a", "b").filter("a <> b").distinct())
     steps: list[DataFrame] = []
     while not edges.isEmpty():
-        turn = F.lit(len(steps) + 1)
+        turn = F.lit(len(steps) + 1) if len(steps) >= 2 else None
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        rank = lambda c: F.struct(F.xxhash64(F.col(c), turn).alias("h"), F.col(c).alias("v"))
+        rank = lambda c: F.struct((F.xxhash64(F.col(c), turn) if turn is not None else F.lit(0)).alias("h"), F.col(c).alias("v"))
         least = both.groupBy("a").agg(F.min(rank("b")).alias("m"))
         step = scratch.write(least.select(F.col("a").alias("vertex"), F.least(rank("a"), F.col("m"))["v"].alias("into")))
         steps.append(step)

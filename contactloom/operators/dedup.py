@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from contactloom.functions.grid import block_numbers, cell_candidates, greedy_leaders, within
+from contactloom.functions.grid import block_numbers, cell_candidates, greedy_leaders, stars, within
 from contactloom.operators.components import contract
 from contactloom.operators.rowwise import is_mapped, mark_as_dup
 from contactloom.runtime import Scratch, hot_limit, join_unique
@@ -29,7 +29,7 @@ def _links(batch: pa.Table, reach: int, method: str) -> pa.Table:
     for i, j in cell_candidates(block, p0, q0, reach):
         near = within(p0[i] - p0[j], q0[i] - q0[j], reach, method)
         out.append((pid[i[near]], pid[j[near]]))
-    a, b = (np.concatenate(x) for x in zip(*out))
+    a, b = stars(*(np.concatenate(x) for x in zip(*out)))
     return pa.table({"a": a, "b": b})
 
 
