@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from contactloom.functions.grid import block_numbers, cell_candidates
+from contactloom.functions.grid import block_numbers, cell_candidates, stars
 from contactloom.llm.groups import hash_to_min
 from contactloom.runtime import Scratch, hot_limit, join_unique
 
@@ -37,7 +37,8 @@ def canonical(pairs: DataFrame, unmapped: str = "!") -> DataFrame:
 
 
 def ring_edges(batch: pa.Table, quota: int) -> pa.Table:
-    """Links between points of the same block whose two segments differ by at most quota each.
+    """Links between points of the same block whose two segments differ by at most quota each, joined
+    to links with the least point of what they connect.
 
     A point is a ring of two segments, each position in thermometer code, whose Hamming distance is
     the difference of the positions. The whole budget is 2 * quota. A chain of segments is viable
@@ -55,7 +56,7 @@ def ring_edges(batch: pa.Table, quota: int) -> pa.Table:
         i, j, first, second = i[chain], j[chain], first[chain], second[chain]
         full = (first <= quota) & (second <= quota)
         out.append((rep[i[full]], rep[j[full]]))
-    a, b = (np.concatenate(x) for x in zip(*out))
+    a, b = stars(*(np.concatenate(x) for x in zip(*out)))
     return pa.table({"a": a, "b": b})
 
 
