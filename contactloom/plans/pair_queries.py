@@ -322,6 +322,20 @@ def duplicate_offsets(spark, d):
 
 # --- coverage, fragments, regions ----------------------------------------------------------------
 
+#: Chromosomes by rank that have fragments and regions in the queries whose SQL says so; each of them
+#: has a query NAME_all_chroms over the whole of chromsizes.
+LISTED = 20
+
+
+def _all_chroms(f) -> None:
+    def run(spark, d):
+        return f(spark, d, None)
+
+    run.__name__ = f"{f.__name__}_all_chroms"
+    sql = ORACLE[f.__name__].replace(derive.FRAGMENTS_SQL, derive.ALL_FRAGMENTS_SQL).replace(derive.ARMS_SQL, derive.ALL_ARMS_SQL)
+    query(sql)(run)
+
+
 
 def _cov_sql(dist: int, cov: int, method: str) -> str:
     value = "greatest(a.n, b.n)" if method == "max" else "a.n + b.n - 1"
@@ -358,22 +372,22 @@ r AS (SELECT p.*, """ + ", ".join(
 
 
 @query(f"WITH {RFRAG} SELECT * EXCLUDE (pair_no) FROM r")
-def restrict(spark, d):
-    return intervals.restrict(derive.pairs(spark, d), derive.fragments(spark, d)).drop("_ord")
+def restrict(spark, d, listed=LISTED):
+    return intervals.restrict(derive.pairs(spark, d), derive.fragments(spark, d, listed)).drop("_ord")
 
 
 @query(f"""WITH {RFRAG} SELECT CASE WHEN chrom1 = chrom2 AND rfrag1 >= 0 AND abs(rfrag1 - rfrag2) <= 1 THEN
   CASE strand1 || strand2 WHEN '+-' THEN 'dangling_end' WHEN '-+' THEN 'self_circle' ELSE 'mirror' END ELSE 'regular' END AS class,
   count(*) FILTER (pair_type = 'UU')::BIGINT AS uu, count(*) FILTER (pair_type <> 'UU')::BIGINT AS other FROM r GROUP BY 1""")
-def fragment_classes(spark, d):
-    df = intervals.fragment_classes(intervals.restrict(derive.pairs(spark, d), derive.fragments(spark, d)))
+def fragment_classes(spark, d, listed=LISTED):
+    df = intervals.fragment_classes(intervals.restrict(derive.pairs(spark, d), derive.fragments(spark, d, listed)))
     uu = F.col("pair_type") == "UU"
     return df.groupBy("class").agg(F.count_if(uu).alias("uu"), F.count_if(~uu).alias("other"))
 
 
 @query(f"WITH {RFRAG} SELECT \"readID\", pos1 - rfrag_start1 AS dist_start1, rfrag_end1 - pos1 AS dist_end1, pos2 - rfrag_start2 AS dist_start2, rfrag_end2 - pos2 AS dist_end2 FROM r WHERE rfrag1 >= 0 AND rfrag2 >= 0")
-def fragment_end_distances(spark, d):
-    df = intervals.fragment_end_distances(intervals.restrict(derive.pairs(spark, d), derive.fragments(spark, d)))
+def fragment_end_distances(spark, d, listed=LISTED):
+    df = intervals.fragment_end_distances(intervals.restrict(derive.pairs(spark, d), derive.fragments(spark, d, listed)))
     return df.filter("rfrag1 >= 0 and rfrag2 >= 0").select("readID", "dist_start1", "dist_end1", "dist_start2", "dist_end2")
 
 
@@ -384,8 +398,8 @@ REGS = f"""
 
 
 @query(f"WITH {REGS} SELECT * EXCLUDE (pair_no) FROM r")
-def regions(spark, d):
-    return intervals.assign_regions(derive.pairs(spark, d), derive.arms(spark, d)).drop("_ord")
+def regions(spark, d, listed=LISTED):
+    return intervals.assign_regions(derive.pairs(spark, d), derive.arms(spark, d, listed)).drop("_ord")
 
 
 # --- scaling -------------------------------------------------------------------------------------
@@ -401,28 +415,28 @@ trans AS (SELECT chrom1, start1, end1, chrom2, start2, end2, strand1, strand2, c
 """
 
 
-def _scaling(spark, d) -> scaling.Scaling:
-    return scaling.Scaling(derive.pairs(spark, d), derive.arms(spark, d))
+def _scaling(spark, d, listed) -> scaling.Scaling:
+    return scaling.Scaling(derive.pairs(spark, d), derive.arms(spark, d, listed))
 
 
 @query(f"WITH {SCALED} SELECT * FROM cis")
-def scaling_cis(spark, d):
-    return _scaling(spark, d).cis()
+def scaling_cis(spark, d, listed=LISTED):
+    return _scaling(spark, d, listed).cis()
 
 
 @query(f"WITH {SCALED} SELECT * FROM trans")
-def scaling_trans(spark, d):
-    return _scaling(spark, d).trans()
+def scaling_trans(spark, d, listed=LISTED):
+    return _scaling(spark, d, listed).trans()
 
 
 @query(f"WITH {SCALED} SELECT strand1, strand2, min_dist, max_dist, sum(n_pairs)::BIGINT AS n_pairs, sum((n_bp2 * 2)::HUGEINT)::DOUBLE / 2 AS n_bp2, sum(n_pairs) / nullif(sum((n_bp2 * 2)::HUGEINT)::DOUBLE / 2, 0) AS density FROM cis GROUP BY ALL")
-def scaling_by_strands(spark, d):
-    return scaling.by_strands(_scaling(spark, d).cis())
+def scaling_by_strands(spark, d, listed=LISTED):
+    return scaling.by_strands(_scaling(spark, d, listed).cis())
 
 
 @query()
 def scaling_dense(spark, d):
-    return _scaling(spark, d).table(dense=True)
+    return _scaling(spark, d, None).table(dense=True)
 
 
 @query(f"""WITH {P}, b(lo, hi) AS (VALUES {_values(EDGES[:-1], EDGES[-1])}) SELECT chrom1, lo AS min_dist, count(*)::BIGINT AS n_pairs FROM p JOIN b ON abs(pos1 - pos2) >= lo AND abs(pos1 - pos2) < hi
@@ -432,6 +446,10 @@ def scaling_whole_chroms(spark, d):
     return out.groupBy("chrom1", "min_dist").agg(F.sum("n_pairs").alias("n_pairs"))
 
 
+for _query in (restrict, fragment_classes, fragment_end_distances, regions, scaling_cis, scaling_trans, scaling_by_strands):
+    _all_chroms(_query)
+
+
 # --- parse ---------------------------------------------------------------------------------------
 
 
