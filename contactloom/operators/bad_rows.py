@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from contactloom.operators.schema_drift import file_schemas
+from contactloom.operators.schema_drift import file_schemas, place, typed_rows
 from contactloom.runtime import Scratch, join_unique
 from contactloom.schema import PAIRS_COLUMNS
 
@@ -113,3 +113,7 @@ class LineCheck:
         """(file_id, line_no, cells) of all other lines, each once."""
         bad = self.errors().select("file_id", "line_no")
         return self.lines.select("file_id", "line_no", "cells").join(bad, ["file_id", "line_no"], "left_anti").dropDuplicates(["file_id", "line_no"])
+
+    def rows(self) -> DataFrame:
+        """The clean lines as rows whose values have the types of their own file, see typed_rows."""
+        return typed_rows(place(self.clean(), self.files))

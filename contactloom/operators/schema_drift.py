@@ -95,16 +95,19 @@ def unified_types(files: DataFrame) -> DataFrame:
     return each.select("field", F.when(F.col("rank") == 0, "int").when(F.col("rank") == 1, "float").otherwise("str").alias("type"))
 
 
-def unify(lines: DataFrame, files: DataFrame) -> DataFrame:
-    """lines (file_id, line_no, cells array<string>) of all files as one table.
+#: Maps of typed values and the Spark type of each; types other than numbers are kept as text.
+TYPED = {"ints": ("int", "long"), "floats": ("float", "double"), "texts": (None, "string")}
 
-    A file's script is compiled to a projection: for each field of the one schema the place of its
-    cell in this file. The eight pairs columns come out as columns, positions as numbers where they
-    are numbers, all further fields in the map extras by field name; a field that a file or a short
-    line lacks is null or not in the map. Lines of unknown files use the eight pairs columns in order."""
-    standard = F.array(*[F.struct(F.lit(i).alias("idx"), F.lit(c).alias("field"), F.lit(c).alias("written"), F.lit("str").alias("type")) for i, c in enumerate(PAIRS_COLUMNS)])
-    placed = join_unique(lines.select("file_id", "line_no", "cells"), files.select("file_id", "fields"), ["file_id"], "left")
-    placed = placed.withColumn("fields", F.coalesce("fields", standard))
+
+def typed_rows(placed: DataFrame) -> DataFrame:
+    """Rows (file_id, line_no, cells, fields) as a table of fixed columns.
+
+    The eight pairs columns come out as columns of the format's types whatever a file declares:
+    positions as numbers where they are numbers, the others as text. Every further field has its text
+    in the map extras, by field name, and its value in one of the maps ints, floats and texts, as the
+    type in fields says. A cell that is no value of a number type, or that a short line lacks, is not in
+    the map; of fields given twice in a header the first counts."""
+    names = F.transform("fields", lambda f: f["field"])
 
     def cell(name: str):
         idx = F.filter("fields", lambda f: f["field"] == name)
@@ -113,11 +116,36 @@ def unify(lines: DataFrame, files: DataFrame) -> DataFrame:
     out = {c.lower(): cell(c) for c in PAIRS_COLUMNS}
     for c in POSITION_COLUMNS:
         out[c] = out[c].try_cast("long")
-    more = F.filter("fields", lambda f: ~f["field"].isin(*PAIRS_COLUMNS) & (f["idx"] < F.size("cells")))
-    extras = F.map_from_entries(
-        F.filter(
-            F.transform(more, lambda f: F.struct(f["field"].alias("key"), F.get(F.col("cells"), f["idx"]).alias("value"))),
-            lambda e: e["value"].isNotNull(),
-        )
+    more = F.filter(
+        "fields", lambda f, i: ~f["field"].isin(*PAIRS_COLUMNS) & (f["idx"] < F.size("cells")) & (F.array_position(names, f["field"]) == i + 1)
     )
-    return placed.select("file_id", "line_no", *[v.alias(k) for k, v in out.items()], extras.alias("extras"))
+
+    def values(fields, kind: str):
+        entries = F.transform(fields, lambda f: F.struct(f["field"].alias("key"), F.get(F.col("cells"), f["idx"]).try_cast(kind).alias("value")))
+        return F.map_from_entries(F.filter(entries, lambda e: e["value"].isNotNull()))
+
+    def of(own: str | None):
+        return F.filter(more, lambda f: f["type"] == own if own else ~f["type"].isin("int", "float"))
+
+    out["extras"] = values(more, "string")
+    for name, (own, kind) in TYPED.items():
+        out[name] = values(of(own), kind)
+    return placed.select("file_id", "line_no", *[v.alias(k) for k, v in out.items()])
+
+
+def place(lines: DataFrame, files: DataFrame) -> DataFrame:
+    """lines (file_id, line_no, cells) with the fields of their file; lines of unknown files have the
+    eight pairs columns in order."""
+    standard = F.array(*[F.struct(F.lit(i).alias("idx"), F.lit(c).alias("field"), F.lit(c).alias("written"), F.lit("str").alias("type")) for i, c in enumerate(PAIRS_COLUMNS)])
+    placed = join_unique(lines.select("file_id", "line_no", "cells"), files.select("file_id", "fields"), ["file_id"], "left")
+    return placed.withColumn("fields", F.coalesce("fields", standard))
+
+
+def unify(lines: DataFrame, files: DataFrame) -> DataFrame:
+    """lines (file_id, line_no, cells array<string>) of all files as one table, see typed_rows: each
+    field has the type that unified_types gives it over all files, so it is in the same map throughout."""
+    scratch = Scratch(lines.sparkSession, "unify")
+    each = files.select("file_id", F.explode("fields").alias("f")).select("file_id", "f.idx", "f.field", "f.written")
+    typed = join_unique(each, scratch.write(unified_types(files)), ["field"])
+    one = typed.groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("idx", "field", "written", "type"))).alias("fields"))
+    return typed_rows(place(lines, scratch.write(one)))

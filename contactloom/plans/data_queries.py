@@ -37,6 +37,11 @@ def p3_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _check(spark, sf_dir).clean().select("file_id", "line_no", F.size("cells").alias("n_cells"))
 
 
+def p3_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The valid lines, which p3_clean counts the cells of, as typed rows."""
+    return _check(spark, sf_dir).rows()
+
+
 def _programs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hierarchy(table(spark, sf_dir, "programs"), ["file_id"], "id", "pp")
 
@@ -77,7 +82,7 @@ def p5_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p2_found, p2_unified, p3_found, p3_clean, p4_found, p4_descendants, p5_found, p5_profile)
+    for f in (p2_found, p2_unified, p3_found, p3_clean, p3_rows, p4_found, p4_descendants, p5_found, p5_profile)
 }
 
 FILES = r"""
