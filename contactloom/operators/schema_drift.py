@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from contactloom.functions.tree_edit import Differ, Node
+from contactloom.functions.tree_edit import Differ, Edit, Node
 from contactloom.runtime import Scratch, join_unique, lag_over_ranges
 from contactloom.schema import PAIRS_COLUMNS, POSITION_COLUMNS
 
@@ -141,11 +141,57 @@ def place(lines: DataFrame, files: DataFrame) -> DataFrame:
     return placed.withColumn("fields", F.coalesce("fields", standard))
 
 
+def compile_script(script: list[Edit], fields: list[dict]) -> list[tuple[int, str, str, str]]:
+    """The projection (idx, field, written, type) that an edit script from a file's fields makes of
+    its cells: renamed says which written name a field is read from, retyped what it is cast to; a
+    removed field is not read, and an added one has no cell and stays null."""
+    at: dict[str, int] = {}
+    source: dict[str, str] = {}
+    kind: dict[str, str] = {}
+    for f in fields:
+        at.setdefault(f["written"], f["idx"])
+        source.setdefault(f["field"], f["written"])
+        kind.setdefault(f["field"], f["type"])
+    for e in script:
+        field = e.path[-1]
+        if e.op == "renamed":
+            source[field] = e.old
+        elif e.op == "retyped":
+            kind[field] = e.new
+        elif e.op == "removed":
+            source.pop(field)
+    return sorted((at[w], k, w, kind[k]) for k, w in source.items())
+
+
+def _projections(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    differ = Differ()
+    step = pa.struct([("idx", pa.int32()), ("field", pa.string()), ("written", pa.string()), ("type", pa.string())])
+    for batch in batches:
+        ids, out = batch.column(0), []
+        for fields in batch.column(1).to_pylist():
+            kinds = {f["field"]: f["unified"] for f in fields}
+            one = Node("", children=tuple(Node(k, t, k) for k, t in kinds.items()))
+            steps = compile_script(differ.script(schema_tree(fields), one), fields)
+            out.append([dict(zip(step.names, x)) for x in steps])
+        yield pa.RecordBatch.from_arrays([ids, pa.array(out, pa.list_(step))], names=["file_id", "fields"])
+
+
+def projections(files: DataFrame, scratch: Scratch) -> DataFrame:
+    """(file_id, fields): the projection of each file into the one schema of all files, compiled from
+    the least-cost edit script that turns the file's schema into it (its part with the file's own
+    fields; what a file lacks would be added, and is null)."""
+    each = files.select(F.col("file_id").cast("long"), F.explode("fields").alias("f")).select("file_id", "f.*")
+    types = scratch.write(unified_types(files).withColumnRenamed("type", "unified"))
+    typed = join_unique(each, types, ["field"])
+    row = F.struct("idx", "field", "written", "type", "unified")
+    return typed.groupBy("file_id").agg(F.array_sort(F.collect_list(row)).alias("fields")).mapInArrow(
+        _projections, "file_id long, fields array<struct<idx: int, field: string, written: string, type: string>>"
+    )
+
+
 def unify(lines: DataFrame, files: DataFrame) -> DataFrame:
     """lines (file_id, line_no, cells array<string>) of all files as one table, see typed_rows: each
+    file's edit script to the one schema is compiled to a projection that is applied to its lines. Each
     field has the type that unified_types gives it over all files, so it is in the same map throughout."""
     scratch = Scratch(lines.sparkSession, "unify")
-    each = files.select("file_id", F.explode("fields").alias("f")).select("file_id", "f.idx", "f.field", "f.written")
-    typed = join_unique(each, scratch.write(unified_types(files)), ["field"])
-    one = typed.groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("idx", "field", "written", "type"))).alias("fields"))
-    return typed_rows(place(lines, scratch.write(one)))
+    return typed_rows(place(lines, scratch.write(projections(files, scratch))))

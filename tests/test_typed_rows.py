@@ -2,8 +2,9 @@ from datetime import datetime
 
 import pytest
 
+from contactloom.functions.tree_edit import Edit
 from contactloom.operators.bad_rows import LineCheck
-from contactloom.operators.schema_drift import unify
+from contactloom.operators.schema_drift import compile_script, unify
 
 EIGHT = "readID chrom1 pos1 chrom2 pos2 strand1 strand2 pair_type"
 GOOD = "q9\tchr1\t5\tchr2\t7\t+\t-\tUU"
@@ -43,3 +44,23 @@ def test_valid_rows_have_the_types_of_their_file(check):
         (3, 1): ({"b": 4}, {}, {"c": "z"}), (2, 2): ({}, {}, {}), (4, 1): ({}, {}, {"a": "u"}),
     }
     assert {r.readid for r in out.collect()} == {"q9"}
+
+
+def test_edit_scripts_are_compiled_to_projections():
+    fields = [dict(idx=i, field=f, written=w, type=t) for i, (f, w, t) in enumerate([("a", "A", "int"), ("b", "b", "int"), ("c", "c", "str"), ("b", "b", "int")])]
+    script = [Edit("renamed", ("a",), "A", "a"), Edit("retyped", ("b",), "int", "float"), Edit("removed", ("c",), "c"), Edit("added", ("d",), None, "d")]
+    assert compile_script(script, fields) == [(0, "a", "A", "int"), (1, "b", "b", "float")]
+    assert compile_script([], fields) == [(0, "a", "A", "int"), (1, "b", "b", "int"), (2, "c", "c", "str")]
+
+
+def test_the_table_follows_the_scripts(check, monkeypatch):
+    """With scripts that remove everything but the read name, nothing else is read."""
+    from contactloom.functions import tree_edit
+    from contactloom.operators import schema_drift
+    from contactloom.runtime import Scratch
+
+    fields = schema_drift.projections(check.files, Scratch(check.files.sparkSession, "t")).filter("file_id = 2").first().fields
+    assert [(f.field, f.written, f.type) for f in fields][8:] == [("mapq1", "mq1", "float"), ("a", "a", "str"), ("b", "b", "int")]
+    monkeypatch.setattr(tree_edit.Differ, "script", lambda self, a, b: [Edit("removed", (c.identity,), c.written) for c in a.children if c.identity != "readID"])
+    batch = schema_drift.pa.RecordBatch.from_pylist([{"file_id": 1, "fields": [dict(f.asDict(), unified=f.type) for f in fields]}])
+    assert [[s["field"] for s in r["fields"]] for r in next(schema_drift._projections([batch])).to_pylist()] == [["readID"]]
