@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -10,7 +13,7 @@ from pyspark.sql import types as T
 
 from contactloom.runtime import Scratch, join_unique
 
-#: Tokens left to the dynamic programme at most, and rows of one length that are ranked in one place.
+#: Tokens left to the first dynamic programme, and rows of one length that are ranked in one place.
 EXACT_BUDGET, RANKED_ROWS = 1 << 16, 4096
 
 
@@ -43,47 +46,64 @@ def fit_budget(sizes: list[tuple[int, int]], budget: int, exact: int = EXACT_BUD
 
     A share of each size's records, in proportion, fills the budget but for a remainder; sizes from
     the largest on bring the remainder under exact; there the bounded knapsack is solved by dynamic
-    programming over reachable sums, kept as the bits of one integer."""
+    programming. If that leaves a gap, part of what was taken may have been wrong: it is solved again
+    with 16 times as much left to the programme, in the end with the whole budget."""
     sizes = sorted((s, n) for s, n in sizes if s > 0 and n > 0)
     total = sum(s * n for s, n in sizes)
     if budget >= total:
         return dict(sizes)
     if budget <= 0:
         return {}
-    take = {s: n * max(0, budget - exact) // total for s, n in sizes}
-    left = budget - sum(s * n for s, n in take.items())
-    for s, n in reversed(sizes):
-        if left <= exact:
-            break
-        more = min(n - take[s], (left - exact + s - 1) // s, left // s)
-        take[s] += more
-        left -= more * s
+    unit = math.gcd(*(s for s, _ in sizes))
+    sizes, total, budget = [(s // unit, n) for s, n in sizes], total // unit, budget // unit
+    while True:
+        take = {s: n * max(0, budget - exact) // total for s, n in sizes}
+        left = budget - sum(s * n for s, n in take.items())
+        for s, n in reversed(sizes):
+            if left <= exact:
+                break
+            more = min(n - take[s], (left - exact + s - 1) // s, left // s)
+            take[s] += more
+            left -= more * s
+        chosen, gap = _knapsack([(s, n - take[s]) for s, n in sizes], left)
+        if not gap or exact >= budget:
+            return {s * unit: n + chosen.get(s, 0) for s, n in take.items()}
+        exact = max(1, exact) * 16
+
+
+def _knapsack(sizes: list[tuple[int, int]], budget: int) -> tuple[dict[int, int], int]:
+    """How many of each size have the largest sum within budget, and what of it is left over.
+
+    Reachable sums are kept as the bits of one integer, and for each sum the part by which it was
+    first reached, so memory is a few bytes for each token of budget whatever the number of sizes."""
     parts: list[tuple[int, int]] = []
     for s, n in sizes:
-        free, k = min(n - take[s], left // s), 1
+        free, k = min(n, budget // s), 1
         while free > 0:
             k = min(k, free)
             parts.append((s, k))
             free -= k
             k *= 2
-    if left > exact:
-        return take
-    mask = (1 << (left + 1)) - 1
-    reach, trail = 1, []
-    for s, k in parts:
-        new = reach | (reach << (s * k)) & mask
-        if new == reach:
+    mask = (1 << (budget + 1)) - 1
+    reach, by = 1, np.full(budget + 1, -1, np.int32)
+    for i, (s, k) in enumerate(parts):
+        new = (reach << (s * k)) & mask & ~reach
+        if not new:
             continue
-        trail.append((s, k, reach))
-        reach = new
-        if reach >> left & 1:
+        low = (new & -new).bit_length() - 1
+        low -= low % 8
+        bits = np.unpackbits(np.frombuffer((new >> low).to_bytes(-(-(new.bit_length() - low) // 8), "little"), np.uint8), bitorder="little")
+        by[low + np.nonzero(bits)[0]] = i
+        reach |= new
+        if reach >> budget & 1:
             break
     best = reach.bit_length() - 1
-    for s, k, before in reversed(trail):
-        if not before >> best & 1:
-            take[s] += k
-            best -= s * k
-    return take
+    gap, out = budget - best, {}
+    while best:  # a sum's part comes after all parts of what is left of the sum
+        s, k = parts[by[best]]
+        out[s] = out.get(s, 0) + k
+        best -= s * k
+    return out, gap
 
 
 class Mixture:
