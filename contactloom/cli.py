@@ -70,12 +70,12 @@ def _options(spark: SparkSession, a) -> dict:
     return {"casts": dict(a.type_cast), "chrom_subset": subset, "python": a.python, "startup": a.startup_code}
 
 
-def _write_stats(df: DataFrame, a, spark: SparkSession, path: str) -> None:
+def _write_stats(df: DataFrame, a, spark: SparkSession, path: str, tiles: DataFrame | None = None) -> None:
     if path:
         o = _options(spark, a)
         subset = o.pop("chrom_subset")
         s = stats.PairStats(df, _filters(a), chrom_subset=subset, **o)
-        stats_text.write_stats(s.long(), path, a.yaml)
+        stats_text.write_stats(s.long(), path, a.yaml, stats.full_summary(s, tiles))
 
 
 @command("select", ("condition", {}), PATH, OUT, ("--output-rest", {"default": ""}), ("-r --remove-columns", {"default": ""}), *FILTERS[1:])
@@ -170,7 +170,8 @@ def dedup(spark, a):
     if a.output_stats:
         rows = d.marked().unionByName(parts["unmapped"], allowMissingColumns=True)
         rows = rows.withColumn("pair_type", F.when(F.col("duplicate"), "DD").otherwise(F.col("pair_type"))) if a.mark_dups else rows
-        _write_stats(rows, a, spark, a.output_stats)
+        tiles = stats.tile_duplicates(d.marked().filter("duplicate")) if a.output_bytile_stats else None
+        _write_stats(rows, a, spark, a.output_stats, tiles)
     if a.output_bytile_stats:
         stats_text.write_tiles(stats.tile_duplicates(d.marked().filter("duplicate")), a.output_bytile_stats)
 
@@ -195,21 +196,16 @@ def stats_command(spark, a):
     if a.merge:
         read = stats_text.read_stats_yaml if a.yaml else stats_text.read_stats
         merged = stats.merge_stats([read(spark, p) for p in a.pairs_path])
-        kept = merged.filter("not key like 'summary/%'")
+        kept = merged.filter("not key like 'summary/%' and key <> 'dups_by_tile_median'")
         stats_text.write_stats(kept, a.output, a.yaml)
         return
     t, o = _read(spark, a.pairs_path[0], a.type_cast), _options(spark, a)
     subset = o.pop("chrom_subset")
     s = stats.PairStats(t.df, _filters(a), a.n_dist_bins_decade, subset, **o)
-    counts = s.counts()
-    fractions = stats.summary(counts)
-    names = [c for c in fractions.columns if c != "filter"]
-    quoted = fractions.select("filter", *[f"`{c}`" for c in names])
-    long = quoted.unpivot("filter", [f"`{c}`" for c in names], "key", "value")
-    long = long.select("filter", F.concat(F.lit("summary/"), F.col("key")).alias("key"), "value")
-    stats_text.write_stats(s.long().withColumn("value", F.col("value").cast("double")).unionByName(long), a.output, a.yaml)
-    if a.output_bytile_stats and "parent_readID" in t.df.columns:
-        stats_text.write_tiles(stats.tile_duplicates(t.df.filter("pair_type = 'DD'")), a.output_bytile_stats)
+    tiles = stats.tile_duplicates(t.df.filter("pair_type = 'DD'")) if a.output_bytile_stats and "parent_readID" in t.df.columns else None
+    stats_text.write_stats(s.long(), a.output, a.yaml, stats.full_summary(s, tiles))
+    if tiles is not None:
+        stats_text.write_tiles(tiles, a.output_bytile_stats)
 
 
 @command("scaling", ("pairs_path", {"nargs": "+"}), OUT, ("--view --regions", {"dest": "view"}), ("--dist-range", {"nargs": 2, "type": int, "default": [1, 10**9]}),

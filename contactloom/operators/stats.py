@@ -196,4 +196,37 @@ def tile_summary(tiles: DataFrame, n_mapped: int, n_dups: int) -> dict:
     complexity without them."""
     n, median = tiles.agg(F.count(F.lit(1)), F.median("dup_count")).first()
     by_tile = round((median or 0) * n)
-    return {"dups_by_tile_median": by_tile, "complexity_dups_by_tile_median": complexity(n_mapped, n_dups, by_tile)}
+    return {"dups_by_tile_median": by_tile, "complexity_dups_by_tile_median": complexity(n_mapped, n_dups, n_dups - by_tile)}
+
+
+def full_summary(s: PairStats, tiles: DataFrame | None = None) -> dict[str, dict[str, object]]:
+    """{filter: {key: value}} of everything that is computed from counts: shares, naive complexity, the
+    convergence of strands with its pairs and their shares, and with tiles (see tile_duplicates) what
+    they give for all rows. A share of nothing is 0. A few hundred numbers of each filter are collected."""
+    counts: dict[str, dict[str, int]] = {}
+    for r in s.counts().collect():
+        counts.setdefault(r["filter"], {})[r["key"]] = r["value"]
+    freq: dict[str, dict[tuple[str, int], int]] = {}
+    for r in s.dist_freq().collect():
+        freq.setdefault(r["filter"], {})[r["strands"], r["min_dist"]] = r["value"]
+    out: dict[str, dict[str, object]] = {}
+    for row in summary(s.counts()).collect():
+        name = row["filter"]
+        own = counts[name]
+        got = {f"summary/{k}": v for k, v in row.asDict().items() if k != "filter"}
+        got["summary/complexity_naive"] = complexity(own["total_mapped"], own["total_dups"])
+        near = convergence({x: [freq[name][x, e] for e in s.edges] for x in STRANDS}, s.edges)
+        at = "summary/dist_freq_convergence/"
+        below = near.pop("n_cis_pairs_below_convergence_dist")
+        got |= {f"{at}{k}": v for k, v in near.items()}
+        got |= {f"{at}n_cis_pairs_below_convergence_dist/{x}": v for x, v in below.items()}
+        for norm in ("cis", "total_mapped", "total_nodups"):
+            share = lambda v, n=own[norm]: v / n if n else 0.0
+            got |= {f"{at}frac_{norm}_in_cis_below_convergence_dist/{x}": share(v) for x, v in below.items()}
+            for side in ("below", "above"):
+                got[f"{at}frac_{norm}_in_cis_{side}_convergence_dist_all_strands"] = share(near[f"n_cis_pairs_{side}_convergence_dist_all_strands"])
+        if tiles is not None and name == NO_FILTER and not tiles.isEmpty():
+            t = tile_summary(tiles, own["total_mapped"], own["total_dups"])
+            got |= {"dups_by_tile_median": t["dups_by_tile_median"], "summary/complexity_dups_by_tile_median": t["complexity_dups_by_tile_median"]}
+        out[name] = got
+    return out

@@ -270,6 +270,16 @@ def stats_tiles(spark, d):
     return stats.tile_duplicates(df, parent="parent_readid")
 
 
+@query()
+def stats_full_summary(spark, d):
+    """Every key computed from counts; values as text, since one of them names strands. Tiles are those
+    of duplicates with a parent."""
+    dups = derive.pairs(spark, d, "parent_readid").filter((F.col("pair_type") == "DD") & ~F.col("parent_readid").isin("", ".") & (F.col("readID") != "."))
+    out = stats.full_summary(stats.PairStats(derive.pairs(spark, d)), stats.tile_duplicates(dups, parent="parent_readid"))
+    rows = [(name, k, str(v)) for name, values in out.items() for k, v in values.items()]
+    return spark.createDataFrame(rows, "filter string, key string, value string")
+
+
 # --- dedup ---------------------------------------------------------------------------------------
 
 NEAR = {"max": "abs(a.pos2 - b.pos2) <= {r}", "sum": "abs(a.pos1 - b.pos1) + abs(a.pos2 - b.pos2) <= {r}"}

@@ -45,9 +45,12 @@ def flattened(tree: Mapping, above: str = "") -> dict[str, object]:
     return out
 
 
-def write_stats(long: DataFrame, path: str, yaml: bool = False) -> None:
-    """One small file. Without YAML only one filter can be written."""
+def write_stats(long: DataFrame, path: str, yaml: bool = False, more: Mapping[str, Mapping[str, object]] | None = None) -> None:
+    """One small file, more being further keys of each filter. Without YAML only one filter can be written."""
     data = to_dict(long)
+    for name, values in (more or {}).items():
+        whole = {k: int(v) if isinstance(v, float) and v.is_integer() else v for k, v in values.items()}
+        data.setdefault(name, {}).update(whole)
     if yaml:
         import yaml as y
 
