@@ -204,7 +204,8 @@ def _phase_side(side: int, suffixes: Sequence[str], tag_mode: str) -> dict[str,
         own, alt, third = col("NM").try_cast("int"), F.get(hit(0), F.lit(3)).try_cast("int"), F.get(hit(1), F.lit(3)).try_cast("int")
         scores = (own, F.coalesce(alt, minus), F.when(best > second, minus).otherwise(F.coalesce(third, minus)))
         tie = (third == alt) & (alt == own)
-    homologue = (base == other_base) & (((phase == "0") & (other_phase == "1")) | ((phase == "1") & (other_phase == "0")))
+    phased = ~phase.isin("!") & ~other_phase.isin("!")
+    homologue = (base == other_base) & phased & (phase != other_phase)
     result = (
         F.when(best > second, F.struct(phase.alias("phase"), base.alias("chrom")))
         .when(F.coalesce(tie, F.lit(False)), F.struct(F.lit("!").alias("phase"), F.lit("!").alias("chrom")))

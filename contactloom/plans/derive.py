@@ -22,24 +22,18 @@ def chrom_order(spark: SparkSession, sf_dir: str, listed: int = 20) -> list[str]
     return [r.chrom for r in sizes.orderBy("chrom_rank").collect()]
 
 
-def _sizes(spark: SparkSession, sf_dir: str, listed: int | None) -> DataFrame:
+def fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A BED table with a cut every FRAGMENT_STEP bases and one at the end of each chromosome."""
     sizes = spark.read.parquet(f"{sf_dir}/chromsizes.parquet")
-    return sizes if listed is None else sizes.filter(F.col("chrom_rank") <= listed)
-
-
-def fragments(spark: SparkSession, sf_dir: str, listed: int | None = None) -> DataFrame:
-    """A BED table with a cut every FRAGMENT_STEP bases and one at the end of each chromosome, of all
-    chromosomes or of the first ones by rank."""
-    sizes = _sizes(spark, sf_dir, listed)
     starts = F.explode(F.sequence(F.lit(0).cast("long"), F.col("chrom_len") - 1, F.lit(FRAGMENT_STEP).cast("long")))
     return sizes.select("chrom", "chrom_len", starts.alias("start")).select(
         "chrom", "start", F.least(F.col("start") + FRAGMENT_STEP, "chrom_len").alias("end")
     )
 
 
-def arms(spark: SparkSession, sf_dir: str, listed: int | None = None) -> DataFrame:
-    """Two regions for each chromosome, of all or of the first ones by rank."""
-    sizes = _sizes(spark, sf_dir, listed)
+def arms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two regions for each chromosome."""
+    sizes = spark.read.parquet(f"{sf_dir}/chromsizes.parquet")
     half = F.floor(F.col("chrom_len") / 2)
     ends = F.array(
         F.struct(F.lit(0).cast("long").alias("start"), half.alias("end")), F.struct(half.alias("start"), F.col("chrom_len").alias("end"))
@@ -80,17 +74,13 @@ SELECT readid AS "readID", chrom1, pos1, chrom2, pos2, strand1, strand2, pair_ty
 
 FRAGMENTS_SQL = f"""
 SELECT chrom, s AS lo0, least(s + {FRAGMENT_STEP}, chrom_len) AS hi0 FROM chromsizes, unnest(range(0, chrom_len, {FRAGMENT_STEP})) AS u(s)
-WHERE chrom_rank <= 20
 """
 
 ARMS_SQL = """
-SELECT chrom, 0::BIGINT AS s, chrom_len // 2 AS e FROM chromsizes WHERE chrom_rank <= 20
-UNION ALL SELECT chrom, chrom_len // 2, chrom_len FROM chromsizes WHERE chrom_rank <= 20
+SELECT chrom, 0::BIGINT AS s, chrom_len // 2 AS e FROM chromsizes
+UNION ALL SELECT chrom, chrom_len // 2, chrom_len FROM chromsizes
 """
 
-#: The same over all of chromsizes.
-ALL_FRAGMENTS_SQL, ALL_ARMS_SQL = (x.replace("WHERE chrom_rank <= 20", "") for x in (FRAGMENTS_SQL, ARMS_SQL))
-
 
 def tagged_sql() -> str:
     cols = []

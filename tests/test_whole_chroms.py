@@ -25,26 +25,29 @@ def test_every_chromosome_has_fragments_and_arms(spark, tables):
 
 
 def test_sides_with_and_without_fragments_and_regions(spark, tables):
-    frags = {r.readID: (r.rfrag1, r.rfrag_start1, r.rfrag_end1, r.rfrag2) for r in QUERIES["restrict_all_chroms"](spark, tables).collect()}
+    frags = {r.readID: (r.rfrag1, r.rfrag_start1, r.rfrag_end1, r.rfrag2) for r in QUERIES["restrict"](spark, tables).collect()}
     assert frags["far"] == (0, 0, 50_001, 1) and frags["tiny"] == (0, 0, 11, 0) and frags["beyond"][0] == 1
     assert frags["unmapped"] == (-1, 0, 0, 0) and frags["unknown"] == (-1, 0, 0, 0)
-    arms = {r.readID: (r.start1, r.end1, r.start2, r.end2) for r in QUERIES["regions_all_chroms"](spark, tables).collect()}
+    arms = {r.readID: (r.start1, r.end1, r.start2, r.end2) for r in QUERIES["regions"](spark, tables).collect()}
     assert arms["far"] == (0, 35_000, 35_000, 70_000) and arms["tiny"] == (5, 10, 0, 60_000)
     assert arms["unmapped"][:2] == arms["unknown"][:2] == arms["beyond"][:2] == (-1, -1)
-    classes = {r["class"]: r.uu for r in QUERIES["fragment_classes_all_chroms"](spark, tables).collect()}
+    classes = {r["class"]: r.uu for r in QUERIES["fragment_classes"](spark, tables).collect()}
     assert classes == {"dangling_end": 2, "regular": 4}
-    ends = {r.readID for r in QUERIES["fragment_end_distances_all_chroms"](spark, tables).collect()}
+    ends = {r.readID for r in QUERIES["fragment_end_distances"](spark, tables).collect()}
     assert ends == {"far", "near", "tiny", "beyond"}
 
 
 def test_scaling_sees_every_chromosome(spark, tables):
     assert "scaffold21" in {r.chrom1 for r in QUERIES["scaling_dense"](spark, tables).select("chrom1").distinct().collect()}
-    got = sorted((r.chrom1, r.chrom2, r.n_pairs) for r in QUERIES["scaling_trans_all_chroms"](spark, tables).collect())
+    got = sorted((r.chrom1, r.chrom2, r.n_pairs) for r in QUERIES["scaling_trans"](spark, tables).collect())
     assert got == [("scaffold21", "scaffold21", 1), ("scaffold216", "chr1", 1)]
 
 
-@pytest.mark.parametrize("name", sorted(n for n in QUERIES if n.endswith("_all_chroms")))
-def test_all_chroms_agree_with_sql(spark, tables, name):
+OVER_ALL = ["restrict", "fragment_classes", "fragment_end_distances", "regions", "scaling_cis", "scaling_trans", "scaling_by_strands"]
+
+
+@pytest.mark.parametrize("name", OVER_ALL)
+def test_all_chromosomes_agree_with_sql(spark, tables, name):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
     for t in ("pairs", "chromsizes"):
