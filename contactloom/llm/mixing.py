@@ -47,7 +47,8 @@ def fit_budget(sizes: list[tuple[int, int]], budget: int, exact: int = EXACT_BUD
     A share of each size's records, in proportion, fills the budget but for a remainder; sizes from
     the largest on bring the remainder under exact; there the bounded knapsack is solved by dynamic
     programming. If that leaves a gap, part of what was taken may have been wrong: it is solved again
-    with 16 times as much left to the programme, in the end with the whole budget."""
+    with 16 times as much left to the programme, in the end with the whole budget. The result is the
+    optimum whatever exact is; a smaller one saves memory where the budget can be reached early."""
     sizes = sorted((s, n) for s, n in sizes if s > 0 and n > 0)
     total = sum(s * n for s, n in sizes)
     if budget >= total:
@@ -144,8 +145,14 @@ class Mixture:
         )
 
     def short_sources(self) -> DataFrame:
-        """Sources that cannot reach their share even when repeated max_repeats times."""
-        return self.own().filter(F.col("own_tokens") * F.col("max_repeats") < F.col("want")).select("source")
+        """Sources that cannot reach their share even when repeated max_repeats times: those of which
+        the plan takes every document max_repeats times (or that have none) and still falls short."""
+        left = self.own().join(self.taken(), "source", "left").withColumn("taken", F.coalesce("taken", F.lit(0).cast("long")))
+        return left.filter((F.col("taken") == F.col("own_tokens") * F.col("max_repeats")) & (F.col("taken") < F.col("want"))).select("source")
+
+    def taken(self) -> DataFrame:
+        """(source, taken): the tokens that the plan takes of each source that has documents."""
+        return self.plan().groupBy("source").agg(F.sum((F.col("docs") * F.col("whole") + F.col("take")) * F.col("tokens")).alias("taken"))
 
     def plan(self) -> DataFrame:
         """(source, tokens, docs, whole, take): every document of that length is taken whole times,
@@ -182,14 +189,16 @@ class Mixture:
         )
 
     def report(self) -> DataFrame:
-        """(source, target_share, own_tokens, taken_tokens, actual_share, short) from the plan."""
-        taken = self.plan().groupBy("source").agg(F.sum((F.col("docs") * F.col("whole") + F.col("take")) * F.col("tokens")).alias("taken"))
+        """(source, target_share, own_tokens, taken_tokens, actual_share, short, gap) from the plan; gap:
+        the whole tokens by which the plan misses what the source could give, 0 where the fit is exact."""
+        taken = self.scratch.write(self.taken())
         rows = self.own().join(taken, "source", "left").withColumn("taken", F.coalesce("taken", F.lit(0).cast("long")))
         all_taken = taken.agg(F.sum("taken")).first()[0] or 0
         share = F.col("taken") / F.lit(all_taken) if all_taken else F.lit(0.0)
+        could = F.least(F.floor("want"), F.col("own_tokens") * F.col("max_repeats"))
         return rows.select(
             "source", "target_share", "own_tokens", F.col("taken").alias("taken_tokens"), share.alias("actual_share"),
-            (F.col("own_tokens") * F.col("max_repeats") < F.col("want")).alias("short"),
+            (F.col("own_tokens") * F.col("max_repeats") < F.col("want")).alias("short"), (could - F.col("taken")).alias("gap"),
         )
 
 

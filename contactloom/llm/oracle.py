@@ -45,4 +45,19 @@ SELECT m.source FROM mix_targets m LEFT JOIN own USING (source), total
 WHERE coalesce(own, 0) * max_repeats < target_share * t
 """
 
-ORACLE = {"p1_found": P1, "p6_found": P6, "p7_found": P7, "p8_found": P8}
+MIX = r"""
+WITH d AS (SELECT source, len(regexp_extract_all(coalesce(text, ''), '[^ \t\r\n]+')) AS n FROM documents
+           WHERE source IN (SELECT source FROM mix_targets)),
+own AS (SELECT source, sum(n)::BIGINT AS own, count(*) AS docs FROM d GROUP BY source), total AS (SELECT sum(n)::BIGINT AS t FROM d),
+w AS (SELECT m.source, target_share, coalesce(own, 0)::BIGINT AS own_tokens, coalesce(docs, 0) AS docs, max_repeats, target_share * t AS want,
+       least(floor(target_share * t)::BIGINT, coalesce(own, 0)::BIGINT * max_repeats)::BIGINT AS could
+     FROM mix_targets m LEFT JOIN own USING (source), total)
+"""
+# The optimum is known where it is 0 away from what a source could give, as in these tables.
+P8_REPORT = MIX + """
+SELECT source, target_share, own_tokens, could AS taken_tokens, could / (SELECT sum(could)::BIGINT FROM w) AS actual_share,
+  own_tokens * max_repeats < want AS short, 0::BIGINT AS gap FROM w
+"""
+P8_TOTALS = MIX + "SELECT source, could AS taken_tokens, true AS once_each, true AS evenly FROM w WHERE could > 0"
+
+ORACLE = {"p8_report": P8_REPORT, "p8_totals": P8_TOTALS, "p1_found": P1, "p6_found": P6, "p7_found": P7, "p8_found": P8}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from contactloom.llm.contamination import PositionalIndex, phrase_matches, proximity_matches
 from contactloom.llm.groups import read_groups
@@ -49,6 +50,20 @@ def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mixture(spark, sf_dir).report()
 
 
+def p8_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What p8_mixture takes of each source: tokens, documents, and the difference between the most and
+    the fewest copies of one document, of all documents of the source."""
+    m = _mixture(spark, sf_dir)
+    taken = m.select().groupBy("source").agg(
+        F.sum(F.col("tokens") * F.col("copies")).alias("taken_tokens"), F.sum("copies").alias("copies"),
+        F.count(F.lit(1)).alias("docs"), F.count_distinct("doc_id").alias("distinct_docs"), F.max("copies").alias("most"),
+    )
+    ratio = F.when(F.col("own_tokens") > 0, F.ceil(F.col("taken_tokens") / F.col("own_tokens")))
+    return taken.join(m.own().select("source", "own_tokens"), "source").select(
+        "source", "taken_tokens", (F.col("docs") == F.col("distinct_docs")).alias("once_each"), (F.col("most") <= ratio).alias("evenly")
+    )
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return SharedSpans(_table(spark, sf_dir, "documents")).pairs()
 
@@ -63,5 +78,5 @@ def p9_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p6_found, p7_found, p7_proximity, p8_found, p8_mixture, p8_report, p9_found, p9_spans, p9_coverage)
+    for f in (p1_found, p6_found, p7_found, p7_proximity, p8_found, p8_mixture, p8_report, p8_totals, p9_found, p9_spans, p9_coverage)
 }
