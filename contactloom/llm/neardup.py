@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from contactloom.functions.grid import block_numbers, cell_candidates, stars
+from contactloom.functions.grid import block_numbers, stars
 from contactloom.llm.groups import hash_to_min
 from contactloom.runtime import Scratch, hot_limit, join_unique
 
@@ -36,25 +38,50 @@ def canonical(pairs: DataFrame, unmapped: str = "!") -> DataFrame:
     )
 
 
+def ring_candidates(block: np.ndarray, p: np.ndarray, q: np.ndarray, quota: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(i, j, viable): pairs of points of one block with an equal segment, and whether their ring has a
+    viable chain there.
+
+    Both positions of a point in thermometer code (a bit for each threshold below it) make one binary
+    vector, whose Hamming distance is the sum of the differences of the positions; points that match
+    are at most 2 * quota apart. The thresholds are dealt to segments = 2 * quota + 1 segments in turn,
+    so segment r of a position is told by floor((position + r) / segments), and by how much two of
+    these numbers differ is by how many bits the segments do. There are more segments than differing
+    bits; so, with a budget of 2 * quota / segments for each, some segment begins a chain whose first l
+    segments, for every l, differ in no more than l times that budget: not at all for l = 1, by l - 1
+    bits at most for longer ones. Candidates are points with an equal first segment; those without such
+    a chain from it on are left before any full check."""
+    segments = 2 * quota + 1
+    # segment by segment, so that of the segments' numbers only two are in memory
+    for r in range(segments):
+        x, y = (p + r) // segments, (q + r) // segments
+        cell = block_numbers(y, x, block)
+        order = np.argsort(cell, kind="stable")
+        cell, at, step = cell[order], np.arange(len(order)), 1
+        while len(at := at[at + step < len(cell)]) and len(at := at[cell[at] == cell[at + step]]):
+            i, j = order[at], order[at + step]
+            viable, bits = np.ones(len(i), bool), np.zeros(len(i), np.int64)
+            for l in range(2, segments + 1):
+                k = r + l - 1
+                for z in (p, q):
+                    bits += np.abs((z[i] + k) // segments - (z[j] + k) // segments)
+                viable &= bits <= l - 1
+            yield i, j, viable
+            step += 1
+
+
 def ring_edges(batch: pa.Table, quota: int) -> pa.Table:
-    """Links between points of the same block whose two segments differ by at most quota each, joined
-    to links with the least point of what they connect.
-
-    A point is a ring of two segments, each position in thermometer code, whose Hamming distance is
-    the difference of the positions. The whole budget is 2 * quota. A chain of segments is viable
-    while its cumulative difference stays within quota times its length. Candidates come from cells
-    quota + 1 wide in both segments: points of the same or of touching cells are all that can have a
-    viable chain of length two, and a cell holds at most (quota + 1)**2 points, as points are
-    distinct. The chain test prunes them, then the full check compares each segment."""
+    """Links between points of the same block whose positions differ by at most quota each, joined to
+    links with the least point of what they connect. Candidates come from ring_candidates; those with a
+    viable chain get the full check. Points are distinct, so a segment's cell holds at most
+    (2 * quota + 1)**2 of them whatever a contact's copies number."""
     side = batch["side"].combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
     ba, bb, p, q, rep = (batch[c].to_numpy() for c in ("ba", "bb", "pa", "pb", "rep"))
-    p, q = p - ba * BLOCK, q - bb * BLOCK
+    p, q = p - ba * BLOCK + quota, q - bb * BLOCK + quota
     out = [(np.empty(0, np.int64),) * 2]
-    for i, j in cell_candidates(block_numbers(bb, ba, side), p, q, quota):
-        first, second = np.abs(p[i] - p[j]), np.abs(q[i] - q[j])
-        chain = (np.minimum(first, second) <= quota) & (first + second <= 2 * quota)
-        i, j, first, second = i[chain], j[chain], first[chain], second[chain]
-        full = (first <= quota) & (second <= quota)
+    for i, j, viable in ring_candidates(block_numbers(bb, ba, side), p, q, quota):
+        i, j = i[viable], j[viable]
+        full = (np.abs(p[i] - p[j]) <= quota) & (np.abs(q[i] - q[j]) <= quota)
         out.append((rep[i[full]], rep[j[full]]))
     a, b = stars(*(np.concatenate(x) for x in zip(*out)))
     return pa.table({"a": a, "b": b})
