@@ -61,14 +61,15 @@ class Scratch:
     """Tables an operator writes to the shared folder. A written table survives the loss of an
     executor, ends the lineage, and has a known size, so that Spark's own size check decides on
     broadcasts of it. drop() removes a table that is no longer read; the others stay for the lazy
-    result and go when the Python process ends."""
+    result and go, on whatever file system, when the session or the Python process ends."""
 
     def __init__(self, spark: SparkSession, name: str):
         ship(spark)
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.n = 0
-        atexit.register(_delete_local, self.root)
+        _roots.setdefault(spark.sparkContext.applicationId, []).append(self.root)
+        _clean_at_end(spark)
 
     def write(self, df: DataFrame) -> DataFrame:
         self.n += 1
@@ -78,12 +79,45 @@ class Scratch:
         out._scratch_path = path
         return out
 
+    def read(self, tables: Sequence[DataFrame]) -> DataFrame:
+        """Written tables of one schema as one scan."""
+        return self.spark.read.schema(tables[0].schema).parquet(*[t._scratch_path for t in tables])
+
     def drop(self, *tables: DataFrame) -> None:
         for df in tables:
             if path := getattr(df, "_scratch_path", None):
-                jvm = self.spark._jvm
-                at = jvm.org.apache.hadoop.fs.Path(path)
-                at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+                _delete(self.spark, path)
+
+
+_roots: dict[str, list[str]] = {}
+_cleaned: set[str] = set()
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def _clean_at_end(spark: SparkSession) -> None:
+    """Has the scratch tables of the application removed before its context stops, and local ones that a
+    lost context left when the process ends."""
+    sc = spark.sparkContext
+    app = sc.applicationId
+    if app in _cleaned:
+        return
+    _cleaned.add(app)
+    stop = sc.stop
+
+    def clean_and_stop():
+        for root in _roots.pop(app, []):
+            try:
+                _delete(spark, root)
+            except Exception:  # the context may be gone already; local tables go at the process's end
+                _delete_local(root)
+        stop()
+
+    sc.stop = clean_and_stop
+    atexit.register(lambda: [_delete_local(root) for root in _roots.pop(app, [])])
 
 
 def _delete_local(root: str) -> None:
@@ -113,6 +147,8 @@ def join_unique(
     on = list(on)
     spark = left.sparkSession
     if hot is None:
+        # counting, sorting out and joining would each run left's plan, so it is run once and written
+        left = left if hasattr(left, "_scratch_path") else Scratch(spark, "keyed").write(left)
         counts = left.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
         limit = hot_limit(left.count())
         hot = counts.filter(F.col("_n") > limit).select(*on)
