@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from contactloom.operators.schema_drift import file_schemas, place, typed_rows
-from contactloom.runtime import Scratch, join_unique
+from contactloom.operators.schema_drift import file_schemas, join_files, place, typed_rows
+from contactloom.runtime import Scratch
 from contactloom.schema import PAIRS_COLUMNS
 
 #: Possessive, so that long fields are read in a loop and not by recursion.
@@ -73,7 +73,7 @@ class LineCheck:
         standard = F.array(
             *[F.struct(F.lit(c).alias("field"), F.lit("int" if c.startswith("pos") else "str").alias("type")) for c in PAIRS_COLUMNS]
         )
-        held = join_unique(lines, rules, ["file_id"], "left").withColumn("fields", F.coalesce("fields", standard))
+        held = join_files(lines, rules).withColumn("fields", F.coalesce("fields", standard))
         cells, broken = split_cells(F.col("line_text"), F.col("quoting"))
         held = held.select(
             "file_id", "line_no", "fields", broken.alias("broken"), cells.alias("cells"), at("chrom1").alias("at1"), at("chrom2").alias("at2"),
@@ -93,14 +93,17 @@ class LineCheck:
 
         Lines are exploded into (line, field, value) where they lie; the rule table says what each
         cell is held to; only failing cells are shuffled, to be aggregated by line."""
-        one = F.array(F.struct(F.lit("").alias("field"), F.lit("").alias("type")))
-        fields = F.when(F.col("reason").isNull(), F.slice("fields", 1, F.size("cells"))).otherwise(one)
+        # a cell goes with its own field only, not with its line's other cells
+        one = F.array(F.struct(F.lit("").alias("field"), F.lit("").alias("type"), F.lit("").alias("value")))
+        fields = F.transform(
+            F.slice("fields", 1, F.size("cells")), lambda f, i: F.struct(f["field"].alias("field"), f["type"].alias("type"), F.get("cells", i).alias("value"))
+        )
         cells = self.lines.select(
-            "file_id", "line_no", "reason", "cells", F.get("cells", F.col("at1") - 1).alias("c1"), F.get("cells", F.col("at2") - 1).alias("c2"),
-            F.posexplode(fields).alias("idx", "f"),
+            "file_id", "line_no", "reason", F.get("cells", F.col("at1") - 1).alias("c1"), F.get("cells", F.col("at2") - 1).alias("c2"),
+            F.explode(F.when(F.col("reason").isNull(), fields).otherwise(one)).alias("f"),
         )
         ctx = F.when(F.col("f.field").isin("chrom1", "pos1"), F.col("c1")).when(F.col("f.field").isin("chrom2", "pos2"), F.col("c2"))
-        cells = cells.select("file_id", "line_no", "reason", "f.field", "f.type", F.get("cells", "idx").alias("value"), ctx.alias("ctx"))
+        cells = cells.select("file_id", "line_no", "reason", "f.field", "f.type", "f.value", ctx.alias("ctx"))
         by_field = self.rules.filter("level = 'field'").select(F.col("name").alias("field"), F.col("rule").alias("own_rule"))
         by_type = self.rules.filter("level = 'type'").select(F.col("name").alias("type"), F.col("rule").alias("type_rule"))
         ruled = cells.join(F.broadcast(by_field), "field", "left").join(F.broadcast(by_type), "type", "left")
@@ -110,7 +113,10 @@ class LineCheck:
         return failing.groupBy("file_id", "line_no").agg(F.min(F.coalesce("reason", F.lit("bad_value"))).alias("reason"))
 
     def clean(self) -> DataFrame:
-        """(file_id, line_no, cells) of all other lines, each once."""
+        """(file_id, line_no, cells) of all other lines, each once. The split lines are written, as they are
+        read for the errors and for what is left."""
+        if not hasattr(self.lines, "_scratch_path"):
+            self.lines = self.scratch.write(self.lines)
         bad = self.errors().select("file_id", "line_no")
         return self.lines.select("file_id", "line_no", "cells").join(bad, ["file_id", "line_no"], "left_anti").dropDuplicates(["file_id", "line_no"])
 

@@ -12,8 +12,8 @@ from contactloom.functions.tree_edit import Differ, Edit, Node
 from contactloom.runtime import Scratch, join_unique, lag_over_ranges
 from contactloom.schema import PAIRS_COLUMNS, POSITION_COLUMNS
 
-#: Rows of the name dictionary up to which it is broadcast.
-NAMES_LIMIT = 100_000
+#: Rows of the name dictionary, and files whose schemas are broadcast.
+NAMES_LIMIT, FILES_LIMIT = 100_000, 20_000
 FIELD = "idx int, field string, written string, type string"
 
 
@@ -133,11 +133,19 @@ def typed_rows(placed: DataFrame) -> DataFrame:
     return placed.select("file_id", "line_no", *[v.alias(k) for k, v in out.items()])
 
 
+def join_files(lines: DataFrame, files: DataFrame) -> DataFrame:
+    """lines with what files has for their file_id, nulls for unknown files. A file may hold most lines,
+    so beyond FILES_LIMIT files the join treats hot files apart."""
+    if files.count() <= FILES_LIMIT:
+        return lines.join(F.broadcast(files), "file_id", "left")
+    return join_unique(lines, files, ["file_id"], "left")
+
+
 def place(lines: DataFrame, files: DataFrame) -> DataFrame:
     """lines (file_id, line_no, cells) with the fields of their file; lines of unknown files have the
     eight pairs columns in order."""
     standard = F.array(*[F.struct(F.lit(i).alias("idx"), F.lit(c).alias("field"), F.lit(c).alias("written"), F.lit("str").alias("type")) for i, c in enumerate(PAIRS_COLUMNS)])
-    placed = join_unique(lines.select("file_id", "line_no", "cells"), files.select("file_id", "fields"), ["file_id"], "left")
+    placed = join_files(lines.select("file_id", "line_no", "cells"), files.select("file_id", "fields"))
     return placed.withColumn("fields", F.coalesce("fields", standard))
 
 

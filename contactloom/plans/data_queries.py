@@ -29,6 +29,16 @@ def p2_unified(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unify(check.clean(), check.files)
 
 
+def p2_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cells of p2_unified that no fixed column holds, one row each with the value it is typed to."""
+    df = p2_unified(spark, sf_dir)
+    cells = df.select("file_id", "line_no", "ints", "floats", "texts", F.explode("extras").alias("field_name", "written"))
+    at = lambda m: F.try_element_at(m, F.col("field_name"))
+    return cells.select(
+        "file_id", "line_no", "field_name", "written", at(F.col("ints")).alias("whole"), at(F.col("floats")).alias("number"), at(F.col("texts")).alias("words")
+    )
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _check(spark, sf_dir).errors()
 
@@ -82,7 +92,7 @@ def p5_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p2_found, p2_unified, p3_found, p3_clean, p3_rows, p4_found, p4_descendants, p5_found, p5_profile)
+    for f in (p2_found, p2_unified, p2_cells, p3_found, p3_clean, p3_rows, p4_found, p4_descendants, p5_found, p5_profile)
 }
 
 FILES = r"""
@@ -151,6 +161,19 @@ SELECT DISTINCT file_id, line_no, len(cells)::INT AS n_cells FROM k
 WHERE NOT EXISTS (SELECT 1 FROM bad WHERE bad.file_id = k.file_id AND bad.line_no = k.line_no)
 """
 
+P2_CELLS = f"""
+WITH {LINES}, bad AS ({P3}),
+u AS (SELECT field, CASE max(CASE type WHEN 'int' THEN 0 WHEN 'float' THEN 1 ELSE 2 END) WHEN 0 THEN 'int' WHEN 1 THEN 'float' ELSE 'str' END AS type FROM f GROUP BY 1),
+c1 AS (SELECT DISTINCT file_id, line_no, cells, fields FROM k
+  WHERE NOT EXISTS (SELECT 1 FROM bad WHERE bad.file_id = k.file_id AND bad.line_no = k.line_no)),
+v AS (SELECT file_id, line_no, unnest(fields[1 : len(cells)]) AS field_name, unnest(cells) AS written FROM c1)
+SELECT file_id, line_no, field_name, written,
+  CASE WHEN type = 'int' THEN try_cast(written AS BIGINT) END AS whole, CASE WHEN type = 'float' THEN try_cast(written AS DOUBLE) END AS number,
+  CASE WHEN type = 'str' THEN written END AS words
+FROM v JOIN u ON field = field_name
+WHERE field_name NOT IN ('readID', 'chrom1', 'pos1', 'chrom2', 'pos2', 'strand1', 'strand2', 'pair_type')
+"""
+
 TREE = """
 WITH RECURSIVE n AS (SELECT file_id, id, min(nullif(pp, '')) AS pp FROM programs WHERE id <> '' GROUP BY 1, 2),
 up AS (SELECT n.file_id, n.id, p.id AS parent FROM n LEFT JOIN n p ON p.file_id = n.file_id AND p.id = n.pp),
@@ -189,6 +212,6 @@ FROM d JOIN m USING (chrom_a, chrom_b) WHERE r = 1 GROUP BY 1, 2
 """
 
 ORACLE = {
-    "p2_found": P2, "p3_found": P3, "p3_clean": P3_CLEAN, "p4_found": P4, "p4_descendants": P4_DESCENDANTS,
+    "p2_found": P2, "p2_cells": P2_CELLS, "p3_found": P3, "p3_clean": P3_CLEAN, "p4_found": P4, "p4_descendants": P4_DESCENDANTS,
     "p5_found": P5, "p5_profile": P5_PROFILE,
 }
