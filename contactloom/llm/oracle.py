@@ -60,4 +60,33 @@ SELECT source, target_share, own_tokens, could AS taken_tokens, could / (SELECT
 """
 P8_TOTALS = MIX + "SELECT source, could AS taken_tokens, true AS once_each, true AS evenly FROM w WHERE could > 0"
 
-ORACLE = {"p8_report": P8_REPORT, "p8_totals": P8_TOTALS, "p1_found": P1, "p6_found": P6, "p7_found": P7, "p8_found": P8}
+# Hashes of 400 characters by doubling: those of 2n characters are made of two hashes of n characters.
+_STEPS = [1, 2, 4, 8, 16, 32, 64, 128]
+GRAMS = """
+WITH c AS (SELECT doc_id, unnest(string_split(text, '')) AS c, generate_subscripts(string_split(text, ''), 1) AS i
+           FROM documents WHERE length(text) >= 400),
+h0 AS (SELECT doc_id, i, hash(c) AS h FROM c)""" + "".join(
+    f""",
+h{n + 1} AS (SELECT doc_id, i, hash(h, lead(h, {s}) OVER (PARTITION BY doc_id ORDER BY i)) AS h FROM h{n})"""
+    for n, s in enumerate(_STEPS)
+) + f""",
+g AS (SELECT doc_id, i - 1 AS i, hash(h, lead(h, 144) OVER (PARTITION BY doc_id ORDER BY i)) AS h, max(i) OVER (PARTITION BY doc_id) AS n FROM h{len(_STEPS)}),
+w AS (SELECT doc_id, i, h FROM g WHERE i + 400 <= n),
+s AS (SELECT h FROM w GROUP BY h HAVING min(doc_id) < max(doc_id)),
+m AS (SELECT doc_id, i, h FROM w JOIN s USING (h))
+"""
+P9 = GRAMS + """, k AS (SELECT DISTINCT doc_id, h FROM m)
+SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM k a JOIN k b ON a.h = b.h AND a.doc_id < b.doc_id
+"""
+STRETCHES = GRAMS + """, n AS (SELECT doc_id, i, CASE WHEN i - lag(i) OVER d <= 400 THEN 0 ELSE 1 END AS fresh FROM m WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
+r AS (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM n),
+x AS (SELECT doc_id, min(i)::BIGINT AS start, (max(i) + 400)::BIGINT AS "end" FROM r GROUP BY doc_id, run)
+"""
+P9_SPANS = STRETCHES + 'SELECT doc_id, start, "end" FROM x'
+P9_COVERAGE = STRETCHES + """, t AS (SELECT doc_id, count(*) AS n_spans, sum("end" - start) AS shared FROM x GROUP BY doc_id)
+SELECT doc_id, coalesce(n_spans, 0)::BIGINT AS n_spans, coalesce(shared, 0)::BIGINT AS shared_chars,
+  CASE WHEN length(text) > 0 THEN coalesce(shared, 0)::BIGINT / length(text) ELSE 0.0 END AS share
+FROM documents LEFT JOIN t USING (doc_id)
+"""
+
+ORACLE = {"p9_found": P9, "p9_spans": P9_SPANS, "p9_coverage": P9_COVERAGE, "p8_report": P8_REPORT, "p8_totals": P8_TOTALS, "p1_found": P1, "p6_found": P6, "p7_found": P7, "p8_found": P8}

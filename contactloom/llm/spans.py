@@ -13,28 +13,29 @@ from pyspark.sql import functions as F
 from contactloom.llm.fmindex import FMIndex
 from contactloom.runtime import Scratch, hot_limit, join_unique
 
-#: Multiplier of the rolling hash (odd), and fingerprints that one shard's index is meant to hold.
-BASE, SHARD = 0x9E3779B97F4A7C15, 4000
-_powers: dict[str, np.ndarray] = {}
+#: Multipliers of the rolling hashes (odd), and fingerprints that one shard's index is meant to hold.
+BASES, SHARD = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93), 3000
+#: Documents of a class that are paired in one place.
+BLOCK = 1000
+_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def code_points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers.get("up", ())) <= n:
-        size = max(1 << 18, 2 * n)
-        for name, base in (("up", BASE), ("down", pow(BASE, -1, 1 << 64))):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            _powers[name] = np.multiply.accumulate(steps)
-    return _powers["up"], _powers["down"]
+def _power_tables(n: int, base: int) -> tuple[np.ndarray, np.ndarray]:
+    if len(_powers.get(base, ((),))[0]) <= n:
+        steps = np.full((2, max(1 << 18, 2 * n)), base, np.uint64)
+        steps[1] = pow(base, -1, 1 << 64)
+        steps[:, 0] = 1
+        _powers[base] = tuple(np.multiply.accumulate(steps, axis=1))
+    return _powers[base]
 
 
-def gram_hashes(codes: np.ndarray, k: int) -> np.ndarray:
+def gram_hashes(codes: np.ndarray, k: int, base: int = BASES[0]) -> np.ndarray:
     """A hash of each run of k symbols, the same wherever the run stands."""
-    up, down = _power_tables(len(codes))
+    up, down = _power_tables(len(codes), base)
     n = len(codes)
     sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * down[:n], dtype=np.uint64)))
     h = (sums[k:] - sums[:-k]) * up[: n - k + 1]
@@ -89,123 +90,97 @@ def _fingerprints(k: int, w: int):
 
 
 def _segments(length: int, k: int):
-    """Texts cut to what lies around shared fingerprints: (shard, i, j, doc, start, codes)."""
+    """Texts cut to what lies around shared fingerprints: (shard, doc, start, segment)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for doc, text, wanted in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                by: dict[tuple, list[int]] = {}
+                by: dict[int, list[int]] = {}
                 for x in wanted:
-                    by.setdefault((x["shard"], x["i"], x["j"], x["role"]), []).append(x["pos"])
-                for key, places in by.items():
+                    by.setdefault(x["shard"], []).append(x["pos"])
+                for shard, places in by.items():
                     start = end = -1
                     for p in [*sorted(places), None]:
                         lo = None if p is None else max(0, p - (length - k))
                         if lo is None or lo > end:
                             if end > start:
-                                rows.append((*key, doc, start, text[start:end]))
+                                rows.append((shard, doc, start, text[start:end]))
                             if lo is None:
                                 break
                             start = lo
                         end = min(len(text), p + length)
-            names = ["shard", "i", "j", "role", "doc", "start", "segment"]
-            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.string()]
-            columns = list(zip(*rows)) if rows else [()] * len(names)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=names)
+            columns = list(zip(*rows)) if rows else [()] * 4
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["shard", "doc", "start", "segment"])
 
     return run
 
 
-def _common(a: np.ndarray, i: int, b: np.ndarray, j: int) -> int:
-    """Length of the common run that starts at a[i] and b[j]."""
-    n = min(len(a) - i, len(b) - j)
-    step = 256
-    for at in range(0, n, step):
-        differ = np.nonzero(a[i + at : i + min(n, at + step)] != b[j + at : j + min(n, at + step)])[0]
-        if len(differ):
-            return at + int(differ[0])
-    return max(n, 0)
-
-
-def _stretch(breaks: np.ndarray, at: int, block: int, p: int) -> tuple[int, int]:
-    """The stretch with period p around a block that stands at at. breaks: see _breaks."""
-    i, j = int(np.searchsorted(breaks, at)), int(np.searchsorted(breaks, at + block - p))
-    return int(breaks[i - 1]) + 1, int(breaks[j]) + p
+def _windows(length: int, k: int):
+    """(h1, h2, doc, start): two hashes of each run of length symbols around the wanted fingerprints."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc, text, wanted in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                codes = code_points(text)
+                last = len(codes) - length
+                at = np.unique(np.array(wanted)[:, None] + np.arange(k - length, 1)[None, :])
+                at = at[(at >= 0) & (at <= last)]
+                h = [gram_hashes(codes, length, b)[at].view(np.int64) for b in BASES] if len(at) else [at, at]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*h, np.full(len(at), doc), at)], names=["h1", "h2", "doc", "start"])
 
-def _progressions(found: np.ndarray, block: int) -> list[np.ndarray]:
-    """The places (sorted) where a block is met in one segment, cut so that places in one part are no
-    farther apart than half a block. The places of a part of more than one are a progression by the
-    block's period, as both segments have a stretch of that period there."""
-    return np.split(found, np.nonzero(np.diff(found) > block // 2)[0] + 1)
+    return run
 
 
-def _breaks(kept: dict, s: int, seg: np.ndarray, p: int) -> np.ndarray:
-    if (s, p) not in kept:
-        differ = np.nonzero(seg[:-p] != seg[p:])[0]
-        kept[s, p] = np.concatenate(([-1], differ, [len(seg) - p]))
-    return kept[s, p]
+def _stretches(doc: np.ndarray, start: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of length symbols as stretches (doc, start, end), those that touch being one."""
+    order = np.lexsort((start, doc))
+    doc, start = doc[order], start[order]
+    new = np.ones(len(doc), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (start[1:] > start[:-1] + length)
+    last = np.append(new[1:], True)[: len(new)]
+    return doc[new], start[new], start[last] + length
 
 
-def shared_runs(shard: pa.Table, length: int) -> pa.Table:
-    """The runs of at least length symbols that a query segment shares with a segment of another
-    document in the shard's index: all maximal ones, and within periodic stretches what all alignments
-    together cover on either side (length_1 and length_2 then differ). Any such run holds a whole block of the query's segment,
-    half of length long; the blocks are searched backwards in the FM-index, each place met is
-    extended both ways, and intervals above the threshold come out."""
-    docs, starts = shard["doc"].to_pylist(), shard["start"].to_pylist()
+def _index(shard: pa.Table, length: int) -> tuple[FMIndex, np.ndarray, np.ndarray]:
     texts = [code_points(s) for s in shard["segment"].to_pylist()]
-    role = shard["role"].to_pylist()  # 0 both, 1 index, 2 query
     alphabet = np.unique(np.concatenate(texts))
-    texts = [np.searchsorted(alphabet, t).astype(np.int64) + 1 for t in texts]
-    indexed, asked = [i for i, r in enumerate(role) if r != 2], [i for i, r in enumerate(role) if r != 1]
-    out: list[tuple[int, ...]] = []
-    block = length // 2
-    rows = [(s, q) for s in asked for q in range(0, len(texts[s]) - block + 1, block)]
-    if indexed and rows:
-        index = FMIndex([texts[i] for i in indexed], block)
-        both = role[0] == 0
-        patterns = np.stack([texts[s][q : q + block] for s, q in rows]).astype(np.int32)
-        live, lo, hi = index.search(patterns, 2 if both else 1)
-        seen: set[tuple[int, int, int, int]] = set()
-        periods: dict[tuple[int, int], np.ndarray] = {}
-        for n, a, b in zip(live.tolist(), lo.tolist(), hi.tolist()):
-            s, q = rows[n]
-            places = np.sort(index.order[a:b])
-            which = np.searchsorted(index.starts, places, "right") - 1
-            for part in np.split(np.arange(len(places)), np.nonzero(np.diff(which))[0] + 1):
-                t = indexed[which[part[0]]]
-                if docs[t] == docs[s] or both and docs[t] < docs[s]:
-                    continue
-                local = places[part] - index.starts[which[part[0]]]
-                for places_p in _progressions(local, block):
-                    chosen = places_p
-                    if len(places_p) > 3:
-                        # alignments within two periodic stretches differ only in what their ends meet
-                        p = int(places_p[1] - places_p[0])
-                        u, v = _stretch(_breaks(periods, s, texts[s], p), q, block, p)
-                        x, y = _stretch(_breaks(periods, t, texts[t], p), int(places_p[0]), block, p)
-                        last = len(places_p) - 1
-                        chosen = places_p[sorted({0, last, min(last, (q - u) // p), max(0, last - (v - q - block) // p)})]
-                        shift = places_p - q
-                        fits = shift[np.minimum(y, v + shift) - np.maximum(x, u + shift) >= length]
-                        if len(fits):  # each alignment moves the common run by a period, so what they cover is whole
-                            d1, d2 = int(fits[0]), int(fits[-1])
-                            own, other = (max(x - d2, u), min(y - d1, v)), (max(x, u + d1), min(y, v + d2))
-                            out.append((docs[s], docs[t], starts[s] + own[0], starts[t] + other[0], own[1] - own[0], other[1] - other[0]))
-                    for p in chosen.tolist():
-                        if (s, t, p - q, q) in seen:
-                            continue
-                        left = _common(texts[s][:q][::-1], 0, texts[t][:p][::-1], 0)
-                        right = _common(texts[s], q, texts[t], p)
-                        seen.update((s, t, p - q, x) for x in range(q, q + right - block + 1, block))
-                        if left + right >= length:
-                            out.append((docs[s], docs[t], starts[s] + q - left, starts[t] + p - left, left + right, left + right))
-    out = list(dict.fromkeys(out))
-    names = ["doc_1", "doc_2", "start_1", "start_2", "length_1", "length_2"]
-    columns = list(zip(*out)) if out else [()] * 6
-    return pa.table([pa.array(c, pa.int64()) for c in columns], names=names)
+    docs = shard["doc"].to_numpy()
+    return FMIndex([np.searchsorted(alphabet, t) + 1 for t in texts], docs, length), docs, shard["start"].to_numpy()
+
+
+def shared_stretches(shard: pa.Table, length: int) -> pa.Table:
+    """(doc, start, end): the stretches of the shard's segments in which every run of length symbols
+    stands in another document's segment too. All segments are streamed backwards through the index;
+    where the matching statistic reaches length, a run begins."""
+    index, docs, starts = _index(shard, length)
+    places, _ = index.matches()
+    segment = np.searchsorted(index.starts, places, "right") - 1
+    doc, start, end = _stretches(docs[segment], starts[segment] + places - index.starts[segment], length)
+    return pa.table({"doc": doc, "start": start, "end": end})
+
+
+def shared_pairs(shard: pa.Table, length: int) -> pa.Table:
+    """(doc_1, doc_2): documents whose segments have a run of length symbols in common. A place whose
+    matching statistic reaches length names a class of documents, all those that its range in the
+    index has; equal classes are one before any pair is made."""
+    index, _, _ = _index(shard, length)
+    _, ranges = index.matches()
+    first = np.unique(ranges)
+    last = index.classes(length)[1][first]
+    of = np.repeat(np.arange(len(first)), last - first)
+    within = np.arange(len(of)) - np.repeat(np.cumsum(last - first) - (last - first), last - first)
+    doc = index.owner[first[of] + within]
+    order = np.lexsort((doc, of))
+    of, doc = of[order], doc[order]
+    new = np.ones(len(of), bool)
+    new[1:] = (of[1:] != of[:-1]) | (doc[1:] != doc[:-1])
+    of, doc = of[new], doc[new]
+    classes = {tuple(c.tolist()) for c in np.split(doc, np.nonzero(np.diff(of))[0] + 1)} if len(doc) else set()
+    pairs = {(x, y) for c in classes for i, x in enumerate(c) for y in c[i + 1 :]}
+    a, b = zip(*sorted(pairs)) if pairs else ((), ())
+    return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["doc_1", "doc_2"])
 
 
 class SharedSpans:
@@ -215,79 +190,109 @@ class SharedSpans:
     symbols holds one that its other copies have sampled too; a text's parts without a fingerprint
     met in another document cannot hold a shared run and go no further. Fingerprints met in several
     documents send what surrounds them (as far as a run over them may reach) to a shard named by the
-    least document that has them, so overlapping surroundings meet in one shard and are merged. The
-    segments of a shard form one FM-index and are searched in it. If a fingerprint group is too large
-    for one shard, its documents are cut into blocks, and each block is asked of each block's index.
+    least document that has them, so overlapping surroundings meet in one shard and are merged; those
+    of a document that leads more than a shard holds are spread by fingerprint. The segments of a shard
+    form one FM-index, and each is streamed through it (FMIndex.matches), which tells where a run of
+    length symbols begins that another document has. So a text's shared stretches come out once,
+    whatever the number of its copies, and no pair of documents is made for them.
+
+    A fingerprint of more places than a shard holds (a notice in a large share of all texts) goes to no
+    index. Each run around its places is told by two hashes of 64 bits, which are grouped with partial
+    sums: a run of several documents is one class, its members staying where they are.
 
     Null texts and ids, and texts shorter than length, share nothing. Runs within one document don't
-    count. A run may come out in parts, each of at least length, when its parts are also shared with
-    different documents; spans() merges them."""
+    count; repeated rows of a document are one document."""
 
-    def __init__(self, documents: DataFrame, length: int = 400, doc: str = "doc_id", text: str = "text", id_limit: int = 2_000_000):
+    def __init__(
+        self, documents: DataFrame, length: int = 400, doc: str = "doc_id", text: str = "text", id_limit: int = 2_000_000, shard: int = SHARD,
+    ):
         spark = documents.sparkSession
-        scratch = Scratch(spark, "spans")
-        k = length // 2
-        w = length - k + 1
-        texts = documents.select(F.col(doc).cast("long").alias("doc"), F.col(text).alias("text")).dropna()
+        self.scratch = scratch = Scratch(spark, "spans")
+        self.length, self.k = length, length // 2
+        self.documents, self.doc, self.text, self.id_limit = documents, doc, text, id_limit
+        self.texts = documents.select(F.col(doc).cast("long").alias("doc"), F.col(text).alias("text")).dropna()
+        w = length - self.k + 1
         prints = scratch.write(
-            texts.filter(F.length("text") >= length).mapInArrow(_fingerprints(k, w), "f long, doc long, pos int")
+            self.texts.filter(F.length("text") >= length).mapInArrow(_fingerprints(self.k, w), "f long, doc long, pos int")
         )
         groups = prints.groupBy("f").agg(F.min("doc").alias("leader"), F.max("doc").alias("most"), F.count(F.lit(1)).alias("n"))
         groups = scratch.write(groups.filter("leader < most").drop("most"))
         limit = hot_limit(prints.count())
         hot = groups.filter(F.col("n") > limit).select("f")
-        shared = scratch.write(join_unique(prints, groups.select("f", "leader"), ["f"], hot=hot))
+        shared = scratch.write(join_unique(prints, groups, ["f"], hot=hot))
         scratch.drop(prints, groups)
-        shards = max(1, shared.count() // SHARD, min(spark.sparkContext.defaultParallelism, shared.count() // 500))
-        sizes = shared.groupBy("leader").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > SHARD)
-        large = scratch.write(sizes.select("leader", F.ceil(F.col("n") / SHARD).cast("int").alias("blocks")))
-        placed = shared.join(large, "leader", "left")
-        own = F.pmod(F.xxhash64("doc"), F.col("blocks").cast("long")).cast("int")
-        pair = lambda i, j, role: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), F.lit(role).alias("role"))
-        others = F.transform(
-            F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: b != own),
-            lambda b: F.when(b > own, pair(own, b, 1)).otherwise(pair(b, own, 2)),
-        )
-        zero = F.lit(0)
-        where = F.when(F.col("blocks").isNull(), F.array(pair(zero, zero, 0))).otherwise(F.concat(F.array(pair(own, own, 0)), others))
-        shard = F.when(F.col("blocks").isNull(), F.pmod(F.xxhash64("leader"), F.lit(shards))).otherwise(-1 - F.col("leader"))
-        wanted = (
-            placed.select("doc", "pos", shard.alias("shard"), F.explode(where).alias("to"))
-            .groupBy("doc")
-            .agg(F.collect_set(F.struct("shard", "to.i", "to.j", "to.role", "pos")).alias("wanted"))  # at most a text's own places
-        )
-        wanted = scratch.write(wanted)
+        few, self.many = shared.filter(F.col("n") <= shard), shared.filter(F.col("n") > shard)
+        n = few.count()
+        shards = max(1, n // shard, min(spark.sparkContext.defaultParallelism, n // 500))
+        large = scratch.write(few.groupBy("leader").agg(F.count(F.lit(1)).alias("places")).filter(F.col("places") > shard).select("leader"))
+        # leaders of more than a shard's places are at most one in so many places
+        spread = few.join(large.withColumn("large", F.lit(True)), "leader", "left")
+        number = F.pmod(F.when(F.col("large"), F.xxhash64("f")).otherwise(F.xxhash64("leader")), F.lit(shards))
+        wanted = spread.select("doc", F.struct(number.alias("shard"), "pos").alias("w"))
+        self.wanted = scratch.write(wanted.groupBy("doc").agg(F.collect_set("w").alias("wanted")))  # a text's own places
+
+    def _texts(self, wanted: DataFrame) -> DataFrame:
+        """(doc, text, wanted) of the documents in wanted; a repeated document's texts are taken as one row
+        each."""
         ids = wanted.select("doc")
-        if ids.count() <= id_limit:
+        texts = self.texts
+        if ids.count() <= self.id_limit:
             texts = texts.join(F.broadcast(ids), "doc", "left_semi")
-        segments = (
-            texts.join(wanted, "doc").select("doc", "text", "wanted").mapInArrow(
-                _segments(length, k), "shard long, i int, j int, role int, doc long, start int, segment string"
-            )
-        )
-        self.runs = scratch.write(
-            segments.groupBy("shard", "i", "j").applyInArrow(
-                lambda t: shared_runs(t, length), "doc_1 long, doc_2 long, start_1 long, start_2 long, length_1 long, length_2 long"
-            )
-        )
-        self.documents, self.doc, self.text = documents, doc, text
+        return texts.join(wanted, "doc").select("doc", "text", "wanted")
+
+    def _by_shard(self, kernel, schema: str) -> DataFrame:
+        length, cut = self.length, _segments(self.length, self.k)
+        segments = self._texts(self.wanted).mapInArrow(cut, "shard long, doc long, start long, segment string")
+        return self.scratch.write(segments.groupBy("shard").applyInArrow(lambda t: kernel(t, length), schema))
+
+    def _classes(self) -> tuple[DataFrame, DataFrame] | None:
+        """Runs (h1, h2, doc, start) around the places of fingerprints too frequent for an index, and those
+        (h1, h2) that several documents have; None if there are no such places."""
+        if self.many.isEmpty():
+            return None
+        wanted = self.scratch.write(self.many.groupBy("doc").agg(F.collect_set("pos").alias("wanted")))
+        windows = self._texts(wanted).mapInArrow(_windows(self.length, self.k), "h1 long, h2 long, doc long, start long")
+        windows = self.scratch.write(windows.distinct())
+        classes = windows.groupBy("h1", "h2").agg(F.min("doc").alias("a"), F.max("doc").alias("b"), F.count(F.lit(1)).alias("n"))
+        return windows, self.scratch.write(classes.filter("a < b").select("h1", "h2", "n"))
+
+    def _members(self, windows: DataFrame, classes: DataFrame) -> DataFrame:
+        hot = classes.filter(F.col("n") > hot_limit(windows.count())).select("h1", "h2")
+        return join_unique(windows, classes.select("h1", "h2"), ["h1", "h2"], hot=hot)
 
     def pairs(self) -> DataFrame:
-        """(doc_id_a, doc_id_b), smaller id first, once for each pair that shares a run."""
-        a, b = F.least("doc_1", "doc_2").alias("doc_id_a"), F.greatest("doc_1", "doc_2").alias("doc_id_b")
-        return self.runs.select(a, b).distinct()
+        """(doc_id_a, doc_id_b), smaller id first, once for each pair that shares a run. The rows are as
+        many as such pairs; classes of the same documents are one before their documents are paired, in
+        blocks."""
+        out = self._by_shard(shared_pairs, "doc_1 long, doc_2 long").distinct()
+        if found := self._classes():
+            member = self.scratch.write(self._members(*found).select("h1", "h2", "doc").distinct())
+            seeds = [F.sum(F.xxhash64("doc", F.lit(k)).cast("decimal(38,0)")).alias(f"s{k}") for k in (1, 2)]
+            sets = member.groupBy("h1", "h2").agg(*seeds, F.count(F.lit(1)).alias("n"))
+            one = sets.groupBy("s1", "s2", "n").agg(F.min(F.struct("h1", "h2")).alias("h")).select("h.*", F.ceil(F.col("n") / BLOCK).alias("blocks"))
+            one = self.scratch.write(one)
+            hot = one.filter(F.col("blocks") > 1).select("h1", "h2") if one.count() <= 512 else None
+            placed = join_unique(member, one, ["h1", "h2"], hot=hot).withColumn("own", F.pmod(F.xxhash64("doc"), F.col("blocks")))
+            each = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
+            key = ["h1", "h2", "i", "j"]
+            a = placed.select("h1", "h2", F.col("doc").alias("x"), F.col("own").alias("i"), F.explode(each).alias("j"))
+            b = placed.select("h1", "h2", F.col("doc").alias("y"), F.explode(each).alias("i"), F.col("own").alias("j"))
+            out = out.unionByName(a.join(b, key).filter("x < y").select(F.col("x").alias("doc_1"), F.col("y").alias("doc_2"))).distinct()
+        return out.select(F.col("doc_1").alias("doc_id_a"), F.col("doc_2").alias("doc_id_b"))
 
     def spans(self) -> DataFrame:
         """(doc_id, start, end): the stretches of a document that stand in other documents too, in
         code points, first inclusive, last exclusive, touching ones merged."""
-        ends = lambda i: F.struct(F.col(f"doc_{i}").alias("doc_id"), F.col(f"start_{i}").alias("start"), (F.col(f"start_{i}") + F.col(f"length_{i}")).alias("end"))
-        each = self.runs.select(F.explode(F.array(ends(1), ends(2))).alias("x")).select("x.*").distinct()
-        w = W.partitionBy("doc_id").orderBy("start", "end")
+        each = self._by_shard(shared_stretches, "doc long, start long, end long")
+        if found := self._classes():
+            more = self._members(*found).select("doc", "start", (F.col("start") + self.length).alias("end"))
+            each = each.unionByName(more)
+        w = W.partitionBy("doc").orderBy("start", "end")  # of one text's stretches
         reach = F.max("end").over(w.rowsBetween(W.unboundedPreceding, -1))
         marked = each.withColumn("new", F.coalesce((F.col("start") > reach).cast("int"), F.lit(1)))
         return (
             marked.withColumn("k", F.sum("new").over(w))
-            .groupBy("doc_id", "k")
+            .groupBy(F.col("doc").alias("doc_id"), "k")
             .agg(F.min("start").alias("start"), F.max("end").alias("end"))
             .drop("k")
         )

@@ -125,21 +125,40 @@ def test_bit_ranks():
     assert (BitRank(bits).ones(at) == np.concatenate(([0], np.cumsum(bits)))).all()
 
 
-def test_suffix_order_and_search():
-    rng = random.Random(4)
-    texts = ["".join(rng.choice("ab") for _ in range(rng.randrange(20, 90))) for _ in range(8)]
-    segs = [np.array([ord(c) - 96 for c in t]) for t in texts]
-    index = FMIndex(segs, 12)
+def common_prefix(a, b):
+    return next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_suffix_order_backward_search_and_matching_statistics(seed):
+    rng = random.Random(seed)
+    depth, letters = rng.choice([2, 3, 8, 12]), rng.choice(["a", "ab", "abcdefghij"])
+    make = lambda n: "".join(rng.choice(letters) for _ in range(n))
+    copied = make(50)
+    texts = ["", *[make(rng.randrange(30)) + copied[rng.randrange(40) :][: rng.randrange(30)] + make(rng.randrange(5)) for _ in range(8)]]
+    owners = np.array([rng.randrange(4) for _ in texts])
+    index = FMIndex([np.array([ord(c) - 96 for c in t], np.int64) for t in texts], owners, depth)
     joined = "".join(t + "\0" for t in texts)
-    order = suffix_order(np.array([0 if c == "\0" else ord(c) - 96 for c in joined]), 12)
-    assert [joined[i : i + 12] for i in order] == sorted(joined[i : i + 12] for i in range(len(joined)))
-    patterns = np.array([[ord(c) - 96 for c in "".join(rng.choice("abc") for _ in range(6))] for _ in range(200)])
-    live, lo, hi = index.search(patterns, 1)
-    got = {n: sorted(index.order[a:b].tolist()) for n, a, b in zip(live.tolist(), lo.tolist(), hi.tolist())}
-    for n, p in enumerate(patterns):
-        text = "".join(chr(96 + c) for c in p)
-        want = [i for i in range(len(joined)) if joined.startswith(text, i)]
-        assert got.get(n, []) == want
+    order, common = suffix_order(index.text, depth)
+    heads = [joined[i : joined.index("\0", i)][:depth] for i in order]
+    assert heads == sorted(heads)
+    for x, y, n in zip(heads, heads[1:], common[1:].tolist()):
+        assert n == common_prefix(x, y) or (n > len(x) and x == y)
+    for _ in range(60):
+        text = "".join(rng.choice(letters + "z") for _ in range(rng.randint(1, min(6, depth))))
+        lo, hi = np.array([0]), np.array([len(joined)])
+        for c in reversed(text):
+            lo, hi = index.back(np.array([ord(c) - 96]), lo, hi) if ord(c) - 96 < index.symbols else (hi, hi)
+        assert sorted(index.order[lo[0] : hi[0]].tolist()) == [i for i in range(len(joined)) if joined.startswith(text, i)]
+    have: dict = {}
+    for t, owner in zip(texts, owners.tolist()):
+        for i in range(len(t) - depth + 1):
+            have.setdefault(t[i : i + depth], set()).add(owner)
+    want = [i for i in range(len(joined)) if len(have.get(joined[i : i + depth], ())) > 1]
+    for piece in (1, 7, None):
+        places, ranges = index.matches(piece)
+        assert sorted(places.tolist()) == want
+        assert all(joined[index.order[r] :][:depth] == joined[p : p + depth] for p, r in zip(places.tolist(), ranges.tolist()))
 
 
 def test_winnowing_keeps_a_least_hash_of_every_window():
@@ -183,19 +202,31 @@ def corpus(rng, length):
     return docs + [(50, None), (51, ""), (52, "-" * (6 * length)), (53, "a" + "-" * length), (54, "-" * (length - 1) + "b")]
 
 
-@pytest.mark.parametrize("seed,shard", [(1, 4000), (2, 4000), (3, 8)])
-def test_shared_spans_against_brute_force(frame, monkeypatch, seed, shard):
-    from contactloom.llm import spans
-
-    monkeypatch.setattr(spans, "SHARD", shard)
+@pytest.mark.parametrize("seed,shard", [(1, 4000), (2, 60), (3, 8), (4, 1)])
+def test_shared_spans_against_brute_force(frame, seed, shard):
+    """Shards of few places spread large leaders by fingerprint and leave frequent ones to hashed runs."""
     length = 40
     docs = corpus(random.Random(seed), length)
-    s = SharedSpans(frame([(*d, 1) for d in docs], "doc_id long, text string, start int"), length)
+    s = SharedSpans(frame([(*d, 1) for d in docs], "doc_id long, text string, start int"), length, shard=shard)
     pairs, cover = brute_shared(docs, length)
     assert {tuple(r) for r in s.pairs().collect()} == pairs
     assert {r.doc_id: r.shared_chars for r in s.coverage().collect()} == cover
 
 
+@pytest.mark.parametrize("shard", [4000, 20])
+def test_rows_of_a_copied_notice_grow_with_its_copies(frame, shard):
+    rng = random.Random(9)
+    notice = "".join(rng.choice("abcdefghij") for _ in range(60))
+    rows = {}
+    for n in (20, 200):
+        docs = [(d, "".join(rng.choice("klmnopq") for _ in range(50)) + notice + "rs" * (d % 5)) for d in range(n)]
+        s = SharedSpans(frame(docs, "doc_id long, text string"), 40, shard=shard)
+        got = s.spans().collect()
+        assert sorted((r.doc_id, r.start, r.end) for r in got) == [(d, 50, len(t)) for d, t in docs]
+        rows[n] = len(got)
+    assert rows[200] == 10 * rows[20]
+
+
 def test_shared_spans_of_nothing(frame):
     s = SharedSpans(frame([], "doc_id long, text string"), 40)
     assert s.pairs().count() == 0 and s.spans().count() == 0 and s.coverage().count() == 0
