@@ -219,7 +219,7 @@ def test_rows_of_a_copied_notice_grow_with_its_copies(frame, shard):
     notice = "".join(rng.choice("abcdefghij") for _ in range(60))
     rows = {}
     for n in (20, 200):
-        docs = [(d, "".join(rng.choice("klmnopq") for _ in range(50)) + notice + "rs" * (d % 5)) for d in range(n)]
+        docs = [(d, "".join(rng.choice("klmnopq") for _ in range(49)) + chr(0x4E00 + d) + notice + "rs" * (d % 5)) for d in range(n)]
         s = SharedSpans(frame(docs, "doc_id long, text string"), 40, shard=shard)
         got = s.spans().collect()
         assert sorted((r.doc_id, r.start, r.end) for r in got) == [(d, 50, len(t)) for d, t in docs]
