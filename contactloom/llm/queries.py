@@ -30,7 +30,7 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = PositionalIndex(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "eval_items"))
+    index = PositionalIndex(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "eval_items"), ahead=3)
     return proximity_matches(index, 0.8)
 
 

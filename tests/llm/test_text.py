@@ -43,11 +43,55 @@ def test_phrases_against_brute_force(frame):
     assert found(frame, docs, items) == want
 
 
-def test_proximity(frame):
+def near(frame, docs, items, share=0.8, **options):
+    index = PositionalIndex(frame(docs, "doc_id long, text string"), frame(items, "item_id long, text string"), ahead=3, **options)
+    return {(r.doc_id, r.item_id): (r.edits, r.words) for r in proximity_matches(index, share).collect()}
+
+
+@pytest.mark.parametrize("options", [{}, {"vocabulary_limit": 0}])
+def test_proximity(frame, options):
     changed = ITEM.replace("five", "fife").replace("nine", "nein")
-    docs = [(1, ITEM), (2, changed), (3, "one two three"), (4, ITEM.replace(" ", " and "))]
-    index = PositionalIndex(frame(docs, "doc_id long, text string"), frame([(7, ITEM)], "item_id long, text string"))
-    assert sorted(map(tuple, proximity_matches(index, 0.8).collect())) == [(1, 7, 13, 13), (2, 7, 11, 13)]
+    docs = [
+        (1, ITEM), (2, "x " + changed), (3, "one two three"), (4, ITEM.replace(" ", " and ")), (5, ITEM.replace("two", "two and a").upper()),
+        (6, "y " * 3000 + ITEM.replace("six ", "").replace("nine ", "") + " y" * 50), (7, None), (8, ""), (9, ITEM.replace("two three four", "2 3 4")), (1, ITEM),
+    ]
+    items = [(7, ITEM), (8, None), (9, ""), (10, "fife")]
+    want = {(1, 7): (0, 13), (2, 7): (2, 13), (5, 7): (2, 13), (6, 7): (2, 13), (2, 10): (0, 1)}
+    assert near(frame, docs, items, **options) == want
+    assert near(frame, [], items) == {} == near(frame, docs, [])
+
+
+def fewest_edits(words, item):
+    row = [0] * (len(words) + 1)
+    for i, x in enumerate(item, 1):
+        new = [i]
+        for j, y in enumerate(words, 1):
+            new.append(min(row[j - 1] + (x != y), row[j] + 1, new[-1] + 1))
+        row = new
+    return min(row)
+
+
+def test_proximity_against_brute_force(frame):
+    """Planted passages with inserted, removed and changed words are all found."""
+    rng = random.Random(8)
+    word = lambda: rng.choice("abcdefghijklmnop")
+    items = [(i, " ".join(word() for _ in range(rng.choice([1, 4, 7, 12, 25])))) for i in range(12)]
+    docs, planted = [], set()
+    for d in range(80):
+        i, text = rng.choice(items)
+        passage, budget = text.split(), len(text.split()) // 5
+        for _ in range(rng.randint(0, budget + 2)):
+            at = rng.randrange(len(passage) + 1)
+            passage[at : at + rng.randint(0, 1)] = [word()] if rng.random() < 0.6 else []
+        docs.append((d, " ".join([word() for _ in range(rng.randrange(30))] + passage + [word() for _ in range(rng.randrange(30))])))
+    want = {}
+    for d, text in docs:
+        for i, x in items:
+            n = len(x.split())
+            if (edits := fewest_edits(text.split(), x.split())) <= n // 5:
+                want[d, i] = (edits, n)
+                planted.add(edits)
+    assert near(frame, docs, items) == want and planted >= {0, 1, 2}
 
 
 # --- mixing --------------------------------------------------------------------------------------
