@@ -1,25 +1,32 @@
 """Command line: python -m contactloom COMMAND ... on pairs, pairsam and SAM files.
 
-Paths are anything Spark reads; an output path with a suffix of a pairs or text file is written as one
-file, any other as a folder of part files. Options that tune processes, memory or temporary folders
-of single-machine tools have no counterpart; Spark's own settings take their place."""
+Paths are anything Spark reads. Without a path, or with '-', rows come from standard input and go to
+standard output; an output path with a suffix of a pairs or text file is one file, any other a folder of
+part files. --cmd-in and --cmd-out name programs that inputs and outputs go through. Options that tune
+processes, memory or temporary folders of single-machine tools have no counterpart; Spark's own settings
+take their place."""
 
 from __future__ import annotations
 
 import argparse
+import cProfile
+import logging
+import pdb
+import shlex
 import sys
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from contactloom import header as header_module
 from contactloom.header import PairsHeader
 from contactloom.operators import coverage, intervals, order, rowwise, scaling, stats
 from contactloom.operators.dedup import Dedup
-from contactloom.operators.parse import all_alignments, parse_sam
+from contactloom.operators.parse import alignment_lines, parse_sam
 from contactloom.operators.walks import ORIENTATIONS, POLICIES, POSITIONS, WalkOptions
 from contactloom.schema import PAIRS_COLUMNS, PAIRSAM_COLUMNS, UPPER_TRIANGLE, WHOLE_MATRIX
-from contactloom.sources import pairs_text, sam, stats_text
+from contactloom.sources import pairs_text, sam, stats_text, streams
 from contactloom.table import PairsTable
 
 COMMANDS: dict[str, tuple[Callable, Callable]] = {}
@@ -39,24 +46,34 @@ def command(name: str, *options: tuple):
     return add
 
 
-PATH, OUT = ("pairs_path", {}), ("-o --output", {"default": ""})
+PATH, OUT = ("pairs_path", {"nargs": "?", "default": "-"}), ("-o --output", {"default": "-"})
+PATHS = ("pairs_path", {"nargs": "*", "default": ["-"]})
+PIPES: dict[str, str | None] = {"in": None, "out": None}
 FILTERS = [
     ("--filter", {"action": "append", "default": []}), ("--chrom-subset", {}), ("--startup-code", {}), ("--python", {"action": "store_true"}),
     ("-t --type-cast", {"nargs": 2, "action": "append", "default": []}),
 ]
+BYTILE = ("--bytile-dups", {"action": argparse.BooleanOptionalAction, "default": False})
 NAMED = [(f"--{k}", {"default": v}) for k, v in zip(("c1", "p1", "c2", "p2", "s1", "s2"), PAIRS_COLUMNS[1:7])]
 
 
+def _input(spark: SparkSession, path: str) -> str:
+    """A path that Spark can read: standard input and what a program unpacks are put into the shared folder."""
+    return streams.stage(spark, path, PIPES["in"]) if path in ("", "-") or PIPES["in"] else path
+
+
 def _read(spark: SparkSession, path: str, casts: Sequence = ()) -> PairsTable:
     kinds = {"int": "bigint", "float": "double", "str": "string"}
-    return pairs_text.read_pairs(spark, path, {c: kinds.get(t, t) for c, t in casts})
+    return pairs_text.read_pairs(spark, _input(spark, path), {c: kinds.get(t, t) for c, t in casts})
 
 
 def _write(table: PairsTable, path: str, header: bool = True) -> None:
+    """path: '-' is standard output; outputs that were not asked for have none."""
     if not path:
         return
     table = table if header else PairsTable(table.df, PairsHeader())
-    pairs_text.write_pairs(table, path, single=path.endswith((".pairs", ".pairsam", ".txt", ".sam", ".gz")))
+    single = path == "-" or path.endswith((".pairs", ".pairsam", ".txt", ".sam", ".gz", ".bz2", ".lz4")) or PIPES["out"] is not None
+    pairs_text.write_pairs(table, path, single=single, command=PIPES["out"])
 
 
 def _filters(a) -> dict[str, str]:
@@ -74,7 +91,7 @@ def _write_stats(df: DataFrame, a, spark: SparkSession, path: str, tiles: DataFr
     if path:
         o = _options(spark, a)
         subset = o.pop("chrom_subset")
-        s = stats.PairStats(df, _filters(a), chrom_subset=subset, **o)
+        s = stats.PairStats(df, _filters(a), chrom_subset=subset, **o).once()
         stats_text.write_stats(s.long(), path, a.yaml, stats.full_summary(s, tiles))
 
 
@@ -102,9 +119,9 @@ def sort(spark, a):
     _write(PairsTable(t.df, t.header.add_program("sort")), a.output)
 
 
-@command("merge", ("pairs_path", {"nargs": "+"}), OUT, ("--keep-first-header", {"action": "store_true"}), ("--concatenate", {"action": "store_true"}))
+@command("merge", PATHS, OUT, ("--keep-first-header", {"action": "store_true"}), ("--concatenate", {"action": "store_true"}))
 def merge(spark, a):
-    files = [f for p in a.pairs_path for f in pairs_text._files(spark, p)]
+    files = [f for p in a.pairs_path for f in (["-"] if p == "-" else pairs_text._files(spark, p))]
     t = order.merge_tables([_read(spark, f) for f in files], a.concatenate, a.keep_first_header)
     _write(t if len(files) == 1 else PairsTable(t.df, t.header.add_program("merge", force=True)), a.output)
 
@@ -142,7 +159,7 @@ def phase(spark, a):
 
 
 @command("dedup", PATH, OUT, ("--output-dups", {"default": ""}), ("--output-unmapped", {"default": ""}), ("--output-stats", {"default": ""}),
-         ("--output-bytile-stats", {"default": ""}), ("--max-mismatch", {"type": int, "default": 3}), ("--method", {"default": "max", "choices": ["max", "sum"]}),
+         ("--output-bytile-stats", {"default": ""}), BYTILE, ("--max-mismatch", {"type": int, "default": 3}), ("--method", {"default": "max", "choices": ["max", "sum"]}),
          ("--backend", {"default": "transitive", "choices": ["transitive", "greedy"]}), ("--mark-dups", {"action": argparse.BooleanOptionalAction, "default": True}),
          ("--keep-parent-id", {"action": "store_true"}), ("--extra-col-pair", {"nargs": 2, "action": "append", "default": []}),
          ("--send-header-to", {"default": "both", "choices": ["dups", "dedup", "both", "none"]}), ("--unmapped-chrom", {"default": "!"}),
@@ -157,7 +174,7 @@ def dedup(spark, a):
     header = t.header.add_program("dedup")
     sinks: dict[str, list[str]] = {}
     for part, path in (("dedup", a.output), ("dups", a.output_dups), ("unmapped", a.output_unmapped)):
-        path = a.output if path == "-" else path
+        path = a.output if path == "-" else path  # '-' is where the kept pairs go
         if path:
             sinks.setdefault(path, []).append(part)
     for path, names in sinks.items():
@@ -165,24 +182,27 @@ def dedup(spark, a):
         for n in names[1:]:
             df = df.unionByName(parts[n], allowMissingColumns=True)
         own = header.append_columns(["parent_readID"]) if "parent_readID" in df.columns else header
-        shown = a.send_header_to in ("both", "dedup" if "dedup" in names else "dups")
+        # what is neither kept nor a duplicate always has its header
+        shown = a.send_header_to == "both" or a.send_header_to in names or names == ["unmapped"]
         _write(PairsTable(df.drop("_width") if "parent_readID" in df.columns else df, own), path, shown)
+    tiles = stats.tile_duplicates(d.marked().filter("duplicate")) if a.bytile_dups or a.output_bytile_stats else None
     if a.output_stats:
         rows = d.marked().unionByName(parts["unmapped"], allowMissingColumns=True)
         rows = rows.withColumn("pair_type", F.when(F.col("duplicate"), "DD").otherwise(F.col("pair_type"))) if a.mark_dups else rows
-        tiles = stats.tile_duplicates(d.marked().filter("duplicate")) if a.output_bytile_stats else None
         _write_stats(rows, a, spark, a.output_stats, tiles)
     if a.output_bytile_stats:
-        stats_text.write_tiles(stats.tile_duplicates(d.marked().filter("duplicate")), a.output_bytile_stats)
+        stats_text.write_tiles(tiles, a.output_bytile_stats)
 
 
 @command("filterbycov", PATH, OUT, ("--output-highcov", {"default": ""}), ("--output-unmapped", {"default": ""}), ("--output-stats", {"default": ""}),
          ("--max-cov", {"type": int, "default": 8}), ("--max-dist", {"type": int, "default": 500}), ("--method", {"default": "max", "choices": ["max", "sum"]}),
          ("--mark-multi", {"action": "store_true"}), ("--send-header-to", {"default": "both", "choices": ["lowcov", "highcov", "both", "none"]}),
-         ("--yaml", {"action": "store_true"}), *FILTERS)
+         ("--unmapped-chrom", {"default": "!"}), ("--yaml", {"action": "store_true"}), *NAMED, *FILTERS)
 def filterbycov(spark, a):
     t = _read(spark, a.pairs_path)
-    parts = coverage.filter_by_coverage(t.df, a.max_cov, a.max_dist, a.method, a.mark_multi)
+    columns = t.header.columns()
+    ends = [columns[int(c)] if c.isdigit() else c for c in (a.c1, a.p1, a.c2, a.p2)]
+    parts = coverage.filter_by_coverage(t.df, a.max_cov, a.max_dist, a.method, a.mark_multi, columns=ends, unmapped=a.unmapped_chrom)
     header = t.header.add_program("filterbycov")
     for part, path in (("lowcov", a.output), ("highcov", a.output_highcov), ("unmapped", a.output_unmapped)):
         _write(PairsTable(parts[part], header), path, a.send_header_to in ("both", part) or part == "unmapped")
@@ -190,25 +210,30 @@ def filterbycov(spark, a):
     _write_stats(every, a, spark, a.output_stats)
 
 
-@command("stats", ("pairs_path", {"nargs": "+"}), OUT, ("--merge", {"action": "store_true"}), ("--n-dist-bins-decade", {"type": int, "default": 8}),
-         ("--yaml", {"action": "store_true"}), ("--output-bytile-stats", {"default": ""}), *FILTERS)
+@command("stats", PATHS, OUT, ("--merge", {"action": "store_true"}), ("--n-dist-bins-decade", {"type": int, "default": 8}), BYTILE,
+         ("--with-chromsizes", {"action": argparse.BooleanOptionalAction, "default": True, "dest": "with_chromsizes"}),
+         ("--no-chromsizes", {"action": "store_false", "dest": "with_chromsizes"}), ("--yaml", {"action": "store_true"}), ("--output-bytile-stats", {"default": ""}), *FILTERS)
 def stats_command(spark, a):
     if a.merge:
         read = stats_text.read_stats_yaml if a.yaml else stats_text.read_stats
-        merged = stats.merge_stats([read(spark, p) for p in a.pairs_path])
-        kept = merged.filter("not key like 'summary/%' and key <> 'dups_by_tile_median'")
-        stats_text.write_stats(kept, a.output, a.yaml)
+        merged = stats.merge_stats([read(spark, _input(spark, p)) for p in a.pairs_path])
+        stats_text.write_stats(merged, a.output, a.yaml, stats.summaries(merged))
         return
     t, o = _read(spark, a.pairs_path[0], a.type_cast), _options(spark, a)
     subset = o.pop("chrom_subset")
-    s = stats.PairStats(t.df, _filters(a), a.n_dist_bins_decade, subset, **o)
-    tiles = stats.tile_duplicates(t.df.filter("pair_type = 'DD'")) if a.output_bytile_stats and "parent_readID" in t.df.columns else None
-    stats_text.write_stats(s.long(), a.output, a.yaml, stats.full_summary(s, tiles))
-    if tiles is not None:
+    s = stats.PairStats(t.df, _filters(a), a.n_dist_bins_decade, subset, **o).once()
+    asked = (a.bytile_dups or a.output_bytile_stats) and "parent_readID" in t.df.columns
+    tiles = stats.tile_duplicates(t.df.filter("pair_type = 'DD'")) if asked else None
+    more = stats.full_summary(s, tiles)
+    if a.with_chromsizes:
+        for values in more.values():
+            values |= {f"{stats.CHROMSIZES}{c}": n for c, n in t.header.chromsizes().items()}
+    stats_text.write_stats(s.long(), a.output, a.yaml, more)
+    if tiles is not None and a.output_bytile_stats:
         stats_text.write_tiles(tiles, a.output_bytile_stats)
 
 
-@command("scaling", ("pairs_path", {"nargs": "+"}), OUT, ("--view --regions", {"dest": "view"}), ("--dist-range", {"nargs": 2, "type": int, "default": [1, 10**9]}),
+@command("scaling", PATHS, OUT, ("--view --regions", {"dest": "view"}), ("--dist-range", {"nargs": 2, "type": int, "default": [1, 10**9]}),
          ("--n-dist-bins-decade", {"type": int, "default": 8}), ("--header-chromsizes", {"action": "store_true"}))
 def scaling_command(spark, a):
     tables = [_read(spark, p) for p in a.pairs_path]
@@ -218,15 +243,15 @@ def scaling_command(spark, a):
         sizes = spark.createDataFrame(list(tables[0].header.chromsizes().items()), "chrom string, length long")
     view = pairs_text.read_view(spark, a.view) if a.view else None
     s = scaling.Scaling(df, view, sizes, tuple(a.dist_range), a.n_dist_bins_decade)
-    s.table(dense=True).coalesce(1).write.mode("overwrite").option("header", True).option("sep", "\t").csv(a.output)
+    streams.write_table(s.table(dense=True), a.output)
 
 
 PARSE = [
-    ("sam_path", {}), ("-c --chroms-path", {"required": True}), OUT, ("--assembly", {}), ("--min-mapq", {"type": int, "default": 1}),
+    ("sam_path", {"nargs": "?", "default": "-"}), ("-c --chroms-path", {"required": True}), OUT, ("--assembly", {}), ("--min-mapq", {"type": int, "default": 1}),
     ("--max-inter-align-gap", {"type": int, "default": 20}), ("--add-pair-index", {"action": "store_true"}), ("--add-columns", {"default": ""}),
     ("--drop-readid", {"action": "store_true"}), ("--drop-seq", {"action": "store_true"}), ("--drop-sam", {"action": "store_true"}),
     ("--output-parsed-alignments", {"default": ""}), ("--output-stats", {"default": ""}), ("--readid-transform", {}),
-    ("--yaml", {"action": "store_true"}), *FILTERS,
+    ("--full-walks", {"action": "store_true"}), ("--yaml", {"action": "store_true"}), *FILTERS,
 ]
 
 
@@ -236,7 +261,7 @@ def _parse(spark, a, options: WalkOptions, report_end: str, name: str) -> None:
 
         lines, top = read_bam(spark, a.sam_path)
     else:
-        lines, top = sam.read_sam(spark, a.sam_path)
+        lines, top = sam.read_sam(spark, _input(spark, a.sam_path))
     sizes = sam.sam_chroms(top)
     chroms = pairs_text.read_chrom_list(spark, a.chroms_path, list(sizes))
     extra = [c for c in a.add_columns.split(",") if c]
@@ -246,13 +271,13 @@ def _parse(spark, a, options: WalkOptions, report_end: str, name: str) -> None:
     _write(PairsTable(df, header.add_program(name, force=True)), a.output)
     _write_stats(df, a, spark, a.output_stats)
     if a.output_parsed_alignments:
-        all_alignments(lines, options, a.min_mapq).write.mode("overwrite").option("sep", "\t").csv(a.output_parsed_alignments)
+        streams.write_lines(alignment_lines(lines, options, a.min_mapq), a.output_parsed_alignments)
 
 
 @command("parse", *PARSE, ("--max-molecule-size", {"type": int, "default": 750}), ("--report-alignment-end", {"default": "5", "choices": ["5", "3"]}),
          ("--walks-policy", {"default": "5unique", "choices": list(POLICIES)}), ("--flip", {"action": argparse.BooleanOptionalAction, "default": True}))
 def parse(spark, a):
-    _parse(spark, a, WalkOptions(policy=a.walks_policy, max_gap=a.max_inter_align_gap, max_size=a.max_molecule_size), a.report_alignment_end, "parse")
+    _parse(spark, a, WalkOptions(policy=a.walks_policy, max_gap=a.max_inter_align_gap, max_size=a.max_molecule_size, parity=not a.full_walks), a.report_alignment_end, "parse")
 
 
 @command("parse2", *PARSE, ("--report-position", {"default": "outer", "choices": list(POSITIONS)}), ("--report-orientation", {"default": "pair", "choices": list(ORIENTATIONS)}),
@@ -261,7 +286,7 @@ def parse(spark, a):
          ("--flip", {"action": argparse.BooleanOptionalAction, "default": False}))
 def parse2(spark, a):
     o = WalkOptions(True, max_gap=a.max_inter_align_gap, max_size=a.max_insert_size, position=a.report_position, orientation=a.report_orientation,
-                    mismatch=a.dedup_max_mismatch, single_end=a.single_end, expand=a.expand, max_depth=a.max_expansion_depth)
+                    mismatch=a.dedup_max_mismatch, single_end=a.single_end, expand=a.expand, max_depth=a.max_expansion_depth, parity=not a.full_walks)
     _parse(spark, a, o, "5", "parse2")
 
 
@@ -292,11 +317,37 @@ def header(spark, a):
 
 def main(args: Sequence[str] | None = None, spark: SparkSession | None = None) -> int:
     parser = argparse.ArgumentParser(prog="contactloom")
+    parser.add_argument("-v", "--verbose", action="count", default=0)
+    parser.add_argument("-d", "--debug", "--post-mortem", action="store_true", help="on an error start the debugger")
+    parser.add_argument("--output-profile", default="", help="file for a profile of the driver's Python")
     commands = parser.add_subparsers(dest="command", required=True)
     for name, (fill, _) in COMMANDS.items():
-        fill(commands.add_parser(name))
+        own = commands.add_parser(name)
+        fill(own)
+        own.add_argument("--cmd-in")
+        own.add_argument("--cmd-out")
+    args = list(sys.argv[1:] if args is None else args)
     a = parser.parse_args(args)
-    COMMANDS[a.command][1](spark or SparkSession.builder.appName("contactloom").getOrCreate(), a)
+    logging.basicConfig(level=[logging.WARNING, logging.INFO, logging.DEBUG][min(a.verbose, 2)])
+    spark = spark or SparkSession.builder.appName("contactloom").getOrCreate()
+    spark.sparkContext.setLogLevel(["ERROR", "WARN", "INFO"][min(a.verbose, 2)])
+    PIPES.update({"in": a.cmd_in, "out": a.cmd_out})
+    header_module.command_line = shlex.join(["contactloom", *args])
+    profile = cProfile.Profile() if a.output_profile else None
+    try:
+        if profile:
+            profile.runcall(COMMANDS[a.command][1], spark, a)
+            profile.dump_stats(a.output_profile)
+        else:
+            COMMANDS[a.command][1](spark, a)
+    except Exception:
+        if not a.debug:
+            raise
+        pdb.post_mortem()
+        return 1
+    finally:
+        header_module.command_line = ""
+        PIPES.update({"in": None, "out": None})
     return 0
 
 

@@ -8,6 +8,8 @@ from dataclasses import dataclass, field, replace
 from contactloom import __version__
 from contactloom.schema import FORMAT_LINE, PAIRS_COLUMNS, UPPER_TRIANGLE
 
+#: The command line that provenance records tell, set by the command line only.
+command_line = ""
 SORTED_LINE = "#sorted: chr1-chr2-pos1-pos2"
 
 
@@ -119,9 +121,10 @@ class PairsHeader:
     def unmark_sorted(self) -> "PairsHeader":
         return PairsHeader(tuple(x for x in self.lines if not x.startswith("#sorted")))
 
-    def add_program(self, name: str, command: str = "", version: str = __version__, force: bool = False) -> "PairsHeader":
+    def add_program(self, name: str, command: str | None = None, version: str = __version__, force: bool = False) -> "PairsHeader":
         """A provenance record at the end of every chain of programs in the SAM header."""
         self.require()
+        command = command_line if command is None else command
         sam = self.samheader()
         chains = program_chains(sam, force)
         records = []

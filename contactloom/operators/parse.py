@@ -247,26 +247,49 @@ def _own_tag(algn: Column, name: str) -> Column:
     return F.coalesce(F.get(found, F.lit(0))["value"], F.lit(""))
 
 
-def all_alignments(lines: DataFrame, options: WalkOptions | None = None, min_mapq: int = 1) -> DataFrame:
-    """(readID, side, algn_idx, and what describes it) for each alignment of each molecule, before
-    contacts are made of them."""
+REPORTED = {
+    "chrom": pa.string(), "pos5": pa.int64(), "strand": pa.string(), "mapq": pa.int32(), "cigar": pa.string(), "dist_to_5": pa.int32(),
+    "algn_read_span": pa.int32(), "matched_bp": pa.int32(),
+}
+
+
+def _sides(lines: DataFrame, options: WalkOptions, min_mapq: int, cells, schema: pa.Schema, kinds: str) -> DataFrame:
+    """Rows that cells (read name, side, alignments) gives of both sides of each molecule."""
     ship(lines.sparkSession)
-    options = options or WalkOptions()
     reads = molecules(alignments(sam_table(lines), min_mapq))
-    names = ["chrom", "pos5", "strand", "mapq", "cigar", "dist_to_5", "algn_read_span", "matched_bp"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for r, s1, s2 in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                left, right = ([Alignment(**{**a, "tags": {}}) for a in s] for s in (s1, s2))
-                _, one, two = molecule_contacts(left, right, options)
-                for side, algns in ((1, one), (2, two)):
-                    rows += [(r, side, i, *(getattr(a, n) for n in names)) for i, a in enumerate(algns)]
-            kinds = [pa.string(), pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.string(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.int32()]
-            columns = list(zip(*rows)) if rows else [()] * len(kinds)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["readID", "side", "idx", *names])
-
-    return reads.select("readID", "side1", "side2").mapInArrow(
-        run, "readID string, side int, idx int, chrom string, pos5 long, strand string, mapq int, cigar string, dist_to_5 int, algn_read_span int, matched_bp int"
-    ).withColumn("read_end", F.col("dist_to_5") + F.col("algn_read_span"))
+            for name, *sides in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                given = ([Alignment(**{**a, "tags": {}}) for a in s] for s in sides)
+                for side, algns in enumerate(molecule_contacts(*given, options)[1:], 1):
+                    rows += cells(name, side, algns)
+            columns = list(zip(*rows)) if rows else [()] * len(schema)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+
+    return reads.select("readID", "side1", "side2").mapInArrow(run, kinds)
+
+
+def all_alignments(lines: DataFrame, options: WalkOptions | None = None, min_mapq: int = 1) -> DataFrame:
+    """(readID, side, idx, and what describes it) for each alignment of each molecule, before contacts are
+    made of them."""
+    names = list(REPORTED)
+    schema = pa.schema([("readID", pa.string()), ("side", pa.int32()), ("idx", pa.int32()), *REPORTED.items()])
+    cells = lambda name, side, algns: [(name, side, i, *(getattr(a, n) for n in names)) for i, a in enumerate(algns)]
+    kinds = "readID string, side int, idx int, chrom string, pos5 long, strand string, mapq int, cigar string, dist_to_5 int, algn_read_span int, matched_bp int"
+    return _sides(lines, options or WalkOptions(), min_mapq, cells, schema, kinds).withColumn("read_end", F.col("dist_to_5") + F.col("algn_read_span"))
+
+
+def alignment_lines(lines: DataFrame, options: WalkOptions | None = None, min_mapq: int = 1) -> DataFrame:
+    """(value): a line of text for each side of each molecule: its read name, the side, and of each
+    alignment in read order chrom, pos5, strand, mapq, cigar, start and end in the read, and matched bases,
+    every field followed by a tab."""
+
+    def cells(name: str, side: int, algns: list[Alignment]) -> list[tuple[str]]:
+        fields = [name, side]
+        for a in sorted(algns, key=lambda a: a.dist_to_5):
+            fields += [a.chrom, a.pos5, a.strand, a.mapq, a.cigar, a.dist_to_5, a.dist_to_5 + a.algn_read_span, a.matched_bp]
+        return [("".join(f"{x}\t" for x in fields),)]
+
+    return _sides(lines, options or WalkOptions(), min_mapq, cells, pa.schema([("value", pa.string())]), "value string")

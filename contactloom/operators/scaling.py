@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,12 +10,13 @@ from pyspark.sql import functions as F
 
 from contactloom.functions.bins import OPEN_END, bin_index, edge_at, geometric_edges
 from contactloom.operators.intervals import assign_regions
+from contactloom.runtime import Scratch
 
 REGION = ["chrom", "start", "end"]
 REGIONS = [f"{c}{i}" for i in (1, 2) for c in REGION]
 STRANDS = ["strand1", "strand2"]
-#: Region pairs up to which a dense table between regions is made.
-DENSE_PAIRS = 5_000_000
+#: Regions up to which the second sides of a dense table are broadcast.
+DENSE_REGIONS = 100_000
 
 
 def with_regions(df: DataFrame, regions: DataFrame | None, chromsizes: DataFrame | None = None) -> DataFrame:
@@ -45,13 +46,17 @@ class Scaling:
     A pair within one region counts under its distance bin; distances below the first and from the
     last edge on count nowhere. A pair between regions, single-sided ones included, counts under its
     two regions. Pairs with a side outside all regions are left out unless keep_unassigned. Both
-    tables come from one aggregation whose groups are as many as regions, strands and bins allow."""
+    tables come from one aggregation whose groups are as many as regions, strands and bins allow.
+    Dense tables are over all regions given, or all chromosomes of chromsizes, else over those that
+    occur. filter_f: takes the pairs and gives those that count."""
 
     def __init__(
         self, df: DataFrame, regions: DataFrame | None = None, chromsizes: DataFrame | None = None,
         dist_range: tuple[int, int] = (1, 1_000_000_000), per_decade: int = 8, keep_unassigned: bool = False,
+        filter_f: Callable[[DataFrame], DataFrame] | None = None,
     ):
         self.edges = geometric_edges(*dist_range, per_decade)
+        df = df if filter_f is None else filter_f(df)
         rows = with_regions(df, regions, chromsizes)
         if not keep_unassigned:
             rows = rows.filter((F.col("start1") >= 0) & (F.col("start2") >= 0))
@@ -59,16 +64,32 @@ class Scaling:
         dist = F.abs(F.col("pos1").cast("long") - F.col("pos2").cast("long"))
         index = F.when(same, bin_index(self.edges, dist))
         self.groups = rows.groupBy(*REGIONS, *STRANDS, index.alias("_bin")).agg(F.count(F.lit(1)).alias("n_pairs"))
-        self.regions = regions
+        self.view = None
+        if regions is not None:
+            self.view = regions.select("chrom", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end")).dropna()
+        elif chromsizes is not None:
+            self.view = chromsizes.select("chrom", F.lit(0).cast("long").alias("start"), F.col("length").cast("long").alias("end")).dropna()
+
+    def once(self) -> "Scaling":
+        """The same with the groups written, for several tables from one scan of the pairs."""
+        if not hasattr(self.groups, "_scratch_path"):
+            self.groups = Scratch(self.groups.sparkSession, "scaling").write(self.groups)
+        return self
+
+    def every_region(self) -> DataFrame:
+        """(chrom, start, end) of the view and of whatever occurs outside it."""
+        seen = [self.groups.select(*[F.col(f"{c}{i}").alias(c) for c in REGION]) for i in (1, 2)]
+        regions = seen[0].unionByName(seen[1])
+        return (regions if self.view is None else regions.unionByName(self.view)).distinct()
 
     def cis(self, dense: bool = False) -> DataFrame:
         """(regions, strands, min_dist, max_dist, n_pairs, n_bp2). dense: also bins without pairs, of
-        every region that occurs."""
+        every region."""
         inside = (F.col("_bin") > 0) & (F.col("_bin") < len(self.edges))
         found = self.groups.filter(inside)
         if dense:
-            diagonal = self.groups.filter("_bin is not null").select(*REGIONS).distinct()
-            every = diagonal
+            found = self.once().groups.filter(inside)
+            every = self.every_region().select(*[F.col(c).alias(f"{c}{i}") for i in (1, 2) for c in REGION])
             for c in STRANDS:
                 every = every.withColumn(c, F.explode(F.array(F.lit("+"), F.lit("-"))))
             every = every.withColumn("_bin", F.explode(F.sequence(F.lit(1), F.lit(len(self.edges) - 1))))
@@ -82,16 +103,14 @@ class Scaling:
         """(regions, strands, n_pairs, n_bp2). dense: all ordered pairs of different regions."""
         found = self.groups.filter("_bin is null").drop("_bin")
         if dense:
-            seen = [self.groups.select(*[F.col(f"{c}{i}").alias(c) for c in REGION]) for i in (1, 2)]
-            regions = seen[0].unionByName(seen[1]).distinct()
-            n = regions.count()
-            if n * n > DENSE_PAIRS:
-                raise ValueError(f"{n} regions are too many for a dense table between regions")
-            all_of = regions.agg(F.collect_list(F.struct(*REGION)).alias("o"))  # n rows, bounded above
-            sides = regions.select(*[F.col(c).alias(f"{c}1") for c in REGION], F.lit(1).alias("_k")).join(F.broadcast(all_of.withColumn("_k", F.lit(1))), "_k")
-            sides = sides.select(*[f"{c}1" for c in REGION], F.explode("o").alias("o")).select("*", *[F.col(f"o.{c}").alias(f"{c}2") for c in REGION]).drop("o")
+            found = self.once().groups.filter("_bin is null").drop("_bin")
+            regions = Scratch(found.sparkSession, "regions").write(self.every_region())
+            second = regions.select(*[F.col(c).alias(f"{c}2") for c in REGION])
+            if regions.count() <= DENSE_REGIONS:
+                second = F.broadcast(second)
             different = ~reduce(lambda a, b: a & b, [F.col(f"{c}1").eqNullSafe(F.col(f"{c}2")) for c in REGION])
-            every = sides.filter(different)
+            # the table asked for has a row for each two regions, so this join is its result
+            every = regions.select(*[F.col(c).alias(f"{c}1") for c in REGION]).join(second, different)
             for c in STRANDS:
                 every = every.withColumn(c, F.explode(F.array(F.lit("+"), F.lit("-"))))
             found = every.join(found, [*REGIONS, *STRANDS], "left").withColumn("n_pairs", F.coalesce("n_pairs", F.lit(0).cast("long")))

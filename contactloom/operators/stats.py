@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from contactloom.functions.bins import bin_index, edge_at, stats_edges
 from contactloom.functions.complexity import estimate_complexity
 from contactloom.operators.rowwise import condition
+from contactloom.runtime import Scratch
 from contactloom.schema import DUPLICATE, UNMAPPED_CHROM
 
 # Fixed names and thresholds of the statistics.
@@ -21,6 +22,7 @@ COUNTS = [
 CIS_THRESHOLDS = {f"cis_{k}kb+": k * 1000 for k in (1, 2, 4, 10, 20, 40)}
 STRANDS = ["++", "--", "-+", "+-"]
 NO_FILTER = "no_filter"
+CHROMSIZES, DISTANCES = "chromsizes/", "dist_freq/"
 
 
 def _with_filters(df: DataFrame, filters: Mapping[str, str] | None, **options) -> DataFrame:
@@ -45,7 +47,7 @@ def _flags(df: DataFrame) -> DataFrame:
 class PairStats:
     """All counts as one long table (filter, key, value), keys with parts joined by '/'.
 
-    Rows are read once: they are grouped by filter and everything that any count depends on (mapping,
+    Rows are read once for all of long(): they are grouped by filter and everything that any count depends on (mapping,
     pair type, chromosomes, strands, distance bin), which partial aggregation keeps small, and all
     counts are sums over those groups. A row whose chromosome is null counts as unmapped there. A
     duplicate is a mapped row whose column duplicate is true or, without that column, of type DD."""
@@ -60,6 +62,7 @@ class PairStats:
         limits = F.lit(0)
         for k in CIS_THRESHOLDS.values():
             limits = limits + (F.col("_dist") >= k).cast("int")
+        self.scratch: Scratch | None = None
         self.groups = rows.groupBy(
             "filter", "_m1", "_m2", "_dup", "pair_type",
             F.when(live, F.col("chrom1")).alias("c1"), F.when(live, F.col("chrom2")).alias("c2"),
@@ -68,6 +71,13 @@ class PairStats:
             F.when(cis, limits).alias("far"),
         ).agg(F.count(F.lit(1)).alias("n"))
 
+    def once(self) -> "PairStats":
+        """The same with the groups written, so that several results are computed from one scan of the rows."""
+        if self.scratch is None:
+            self.scratch = Scratch(self.groups.sparkSession, "stats")
+            self.groups = self.scratch.write(self.groups)
+        return self
+
     def counts(self) -> DataFrame:
         """(filter, key, value) of the main counts and of cis pairs above each distance."""
         m1, m2, dup = F.col("_m1"), F.col("_m2"), F.col("_dup")
@@ -102,6 +112,7 @@ class PairStats:
 
     def long(self) -> DataFrame:
         """Everything above as (filter, key, value); a missing pair type is written as '.'."""
+        self.once()
         labels = [f"{a}-{b}" for a, b in zip(self.edges, self.edges[1:])] + [f"{self.edges[-1]}+"]
         label = F.create_map(*[x for e, t in zip(self.edges, labels) for x in (F.lit(e).cast("long"), F.lit(t))])
         return (
@@ -115,11 +126,19 @@ class PairStats:
 
 
 def merge_stats(tables: Sequence[DataFrame]) -> DataFrame:
-    """Counts of several long tables added up. Summaries are computed from the result, never added."""
-    out = tables[0]
-    for t in tables[1:]:
-        out = out.unionByName(t)
-    return out.groupBy("filter", "key").agg(F.sum("value").alias("value"))
+    """Counts of several long tables added up; sizes of chromosomes, which must be the same wherever a table
+    has any, are kept. Summaries are computed from the result (see summaries), never added."""
+    out = tables[0].withColumn("_t", F.lit(0))
+    for i, t in enumerate(tables[1:], 1):
+        out = out.unionByName(t.withColumn("_t", F.lit(i)))
+    out = out.filter(~F.col("key").startswith("summary/") & (F.col("key") != "dups_by_tile_median"))
+    size = F.col("key").startswith(CHROMSIZES)
+    sizes = out.filter(size)
+    have = sizes.groupBy("filter").agg(F.count_distinct("_t").alias("tables"))
+    each = sizes.groupBy("filter", "key").agg(F.count_distinct("_t").alias("n"), F.count_distinct("value").alias("values"))
+    if not each.join(have, "filter").filter("n <> tables or values > 1").isEmpty():
+        raise ValueError("the tables have different sizes of chromosomes")
+    return out.groupBy("filter", "key").agg(F.when(F.first(size), F.first("value")).otherwise(F.sum("value")).alias("value"))
 
 
 def summary(counts: DataFrame) -> DataFrame:
@@ -199,34 +218,45 @@ def tile_summary(tiles: DataFrame, n_mapped: int, n_dups: int) -> dict:
     return {"dups_by_tile_median": by_tile, "complexity_dups_by_tile_median": complexity(n_mapped, n_dups, n_dups - by_tile)}
 
 
-def full_summary(s: PairStats, tiles: DataFrame | None = None) -> dict[str, dict[str, object]]:
-    """{filter: {key: value}} of everything that is computed from counts: shares, naive complexity, the
-    convergence of strands with its pairs and their shares, and with tiles (see tile_duplicates) what
-    they give for all rows. A share of nothing is 0. A few hundred numbers of each filter are collected."""
-    counts: dict[str, dict[str, int]] = {}
-    for r in s.counts().collect():
+def summaries(long: DataFrame, tiles: DataFrame | None = None) -> dict[str, dict[str, object]]:
+    """{filter: {key: value}} of everything that is computed from a long table of counts: shares, naive
+    complexity, the convergence of strands with its pairs and their shares, and with tiles (see
+    tile_duplicates) what they give for all rows. A share of nothing is 0. A few hundred numbers of each
+    filter are collected. A table without distances has no convergence."""
+    counts: dict[str, dict[str, float]] = {}
+    needed = F.col("key").isin(*COUNTS, *CIS_THRESHOLDS) | F.col("key").startswith(DISTANCES)
+    for r in long.filter(needed).collect():
         counts.setdefault(r["filter"], {})[r["key"]] = r["value"]
-    freq: dict[str, dict[tuple[str, int], int]] = {}
-    for r in s.dist_freq().collect():
-        freq.setdefault(r["filter"], {})[r["strands"], r["min_dist"]] = r["value"]
     out: dict[str, dict[str, object]] = {}
-    for row in summary(s.counts()).collect():
+    for row in summary(long).collect():
         name = row["filter"]
         own = counts[name]
         got = {f"summary/{k}": v for k, v in row.asDict().items() if k != "filter"}
-        got["summary/complexity_naive"] = complexity(own["total_mapped"], own["total_dups"])
-        near = convergence({x: [freq[name][x, e] for e in s.edges] for x in STRANDS}, s.edges)
-        at = "summary/dist_freq_convergence/"
-        below = near.pop("n_cis_pairs_below_convergence_dist")
-        got |= {f"{at}{k}": v for k, v in near.items()}
-        got |= {f"{at}n_cis_pairs_below_convergence_dist/{x}": v for x, v in below.items()}
-        for norm in ("cis", "total_mapped", "total_nodups"):
-            share = lambda v, n=own[norm]: v / n if n else 0.0
-            got |= {f"{at}frac_{norm}_in_cis_below_convergence_dist/{x}": share(v) for x, v in below.items()}
-            for side in ("below", "above"):
-                got[f"{at}frac_{norm}_in_cis_{side}_convergence_dist_all_strands"] = share(near[f"n_cis_pairs_{side}_convergence_dist_all_strands"])
+        got["summary/complexity_naive"] = complexity(own.get("total_mapped", 0), own.get("total_dups", 0))
+        freq = {tuple(k.removeprefix(DISTANCES).rsplit("/", 1)): v for k, v in own.items() if k.startswith(DISTANCES)}
+        edges = {int(label.rstrip("+").split("-")[0]): label for label, _ in freq}
+        if edges:
+            labels = [edges[e] for e in sorted(edges)]
+            got |= _convergence_keys(convergence({x: [freq.get((b, x), 0) for b in labels] for x in STRANDS}, sorted(edges)), own)
         if tiles is not None and name == NO_FILTER and not tiles.isEmpty():
             t = tile_summary(tiles, own["total_mapped"], own["total_dups"])
             got |= {"dups_by_tile_median": t["dups_by_tile_median"], "summary/complexity_dups_by_tile_median": t["complexity_dups_by_tile_median"]}
         out[name] = got
     return out
+
+
+def _convergence_keys(near: dict, own: Mapping[str, float]) -> dict[str, object]:
+    at = "summary/dist_freq_convergence/"
+    below = near.pop("n_cis_pairs_below_convergence_dist")
+    got = {f"{at}{k}": v for k, v in near.items()} | {f"{at}n_cis_pairs_below_convergence_dist/{x}": v for x, v in below.items()}
+    for norm in ("cis", "total_mapped", "total_nodups"):
+        n = own.get(norm, 0)
+        got |= {f"{at}frac_{norm}_in_cis_below_convergence_dist/{x}": v / n if n else 0.0 for x, v in below.items()}
+        for side in ("below", "above"):
+            v = near[f"n_cis_pairs_{side}_convergence_dist_all_strands"]
+            got[f"{at}frac_{norm}_in_cis_{side}_convergence_dist_all_strands"] = v / n if n else 0.0
+    return got
+
+
+def full_summary(s: PairStats, tiles: DataFrame | None = None) -> dict[str, dict[str, object]]:
+    return summaries(s.long(), tiles)

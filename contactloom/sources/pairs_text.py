@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gzip
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +10,7 @@ from pyspark.sql import types as T
 
 from contactloom.header import PairsHeader, chrom_order
 from contactloom.schema import FIELD_SEP, INT_COLUMNS, PAIRS_COLUMNS
+from contactloom.sources.streams import write_bytes, write_lines
 from contactloom.table import PairsTable
 
 BED3 = "chrom string, start long, end long"
@@ -33,7 +33,7 @@ def _files(spark: SparkSession, path: str) -> list[str]:
 def check_codec(path: str) -> None:
     """lz4 frames have no Hadoop codec, so files of that kind are turned down instead of misread."""
     if path.endswith(".lz4"):
-        raise ValueError(f"{path}: lz4 frames are not readable here; use gzip, bzip2, zstd or no compression")
+        raise ValueError(f"{path}: lz4 frames are not readable here; use gzip, bzip2, zstd or no compression, or give the program that unpacks it")
 
 
 def head_lines(spark: SparkSession, path: str, prefix: str = "#") -> list[str]:
@@ -94,24 +94,16 @@ def to_lines(df: DataFrame) -> DataFrame:
     return df.select(F.array_join(cells, FIELD_SEP).alias("value"), *[c for c in df.columns if c == "_ord"])
 
 
-def write_pairs(table: PairsTable, path: str, compression: str | None = None, single: bool = False) -> None:
+def write_pairs(table: PairsTable, path: str, compression: str | None = None, single: bool = False, command: str | None = None) -> None:
     """The rows as text part files in the folder path, and the header as the file _header beside
-    them. single: one ordinary file with the header on top, written through one task; for exports."""
+    them. single: one ordinary file with the header on top, or standard output if path is '-'; its
+    parts are written side by side and put together by the file system (see write_lines)."""
     lines = to_lines(table.df)
-    if not single:
-        options = {"compression": compression} if compression else {}
-        lines.select("value").write.mode("overwrite").options(**options).text(path)
-        spark = table.df.sparkSession
-        at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_header")
-        out = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at, True)
-        out.write(bytearray(table.header.text().encode()))
-        out.close()
+    if single:
+        write_lines(lines, path, table.header.text(), command)
         return
-    opener = gzip.open if path.endswith(".gz") else open
-    with opener(path, "wt", encoding="utf-8", newline="\n") as f:
-        f.write(table.header.text())
-        for row in lines.select("value").toLocalIterator():
-            f.write(row.value + "\n")
+    lines.select("value").write.mode("overwrite").options(**({"compression": compression} if compression else {})).text(path)
+    write_bytes(table.df.sparkSession, f"{path}/_header", table.header.text().encode())
 
 
 def read_bed(spark: SparkSession, path: str) -> DataFrame:

@@ -7,6 +7,8 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from contactloom.sources.streams import write_bytes, write_table
+
 LONG = "filter string, key string, value double"
 
 
@@ -46,7 +48,8 @@ def flattened(tree: Mapping, above: str = "") -> dict[str, object]:
 
 
 def write_stats(long: DataFrame, path: str, yaml: bool = False, more: Mapping[str, Mapping[str, object]] | None = None) -> None:
-    """One small file, more being further keys of each filter. Without YAML only one filter can be written."""
+    """One small file, or standard output if path is '-', more being further keys of each filter. Without
+    YAML only one filter can be written."""
     data = to_dict(long)
     for name, values in (more or {}).items():
         whole = {k: int(v) if isinstance(v, float) and v.is_integer() else v for k, v in values.items()}
@@ -59,15 +62,14 @@ def write_stats(long: DataFrame, path: str, yaml: bool = False, more: Mapping[st
         if len(data) > 1:
             raise ValueError("several filters need YAML")
         text = "".join(f"{k}\t{v}\n" for v in data.values() for k, v in v.items())
-    with open(path, "w", encoding="utf-8") as f:
-        f.write(text)
+    write_bytes(long.sparkSession, path, text.encode())
 
 
 def read_stats_yaml(spark: SparkSession, path: str) -> DataFrame:
     import yaml as y
 
-    with open(path, encoding="utf-8") as f:
-        data = y.safe_load(f) or {}
+    lines = spark.read.text(path, wholetext=True).first()
+    data = (y.safe_load(lines.value) if lines else None) or {}
     rows = [(name, k, float(v)) for name, tree in data.items() for k, v in flattened(tree).items() if isinstance(v, (int, float))]
     return spark.createDataFrame(rows, LONG)
 
@@ -79,4 +81,4 @@ def by_filter(long: DataFrame) -> DataFrame:
 
 
 def write_tiles(tiles: DataFrame, path: str) -> None:
-    tiles.write.mode("overwrite").option("header", True).option("sep", "\t").csv(path)
+    write_table(tiles, path)

@@ -15,7 +15,7 @@ class PairsTable:
     df: DataFrame
     header: PairsHeader
 
-    def with_df(self, df: DataFrame, program: str | None = None, command: str = "") -> "PairsTable":
+    def with_df(self, df: DataFrame, program: str | None = None, command: str | None = None) -> "PairsTable":
         """The table with other rows; its columns and, if given, the program go into the header."""
         header = self.header
         columns = [c for c in df.columns if not c.startswith("_")]

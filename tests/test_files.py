@@ -200,3 +200,91 @@ def test_streams(spark, pairs_file, tmp_path, frame):
     batch = pairs_text.read_pairs(spark, pairs_file).df.filter("readID <> '#odd'")
     want = stats.PairStats(batch).counts().filter("key = 'cis'").first().value
     assert counts.agg(F.sum("cis")).first()[0] == want
+
+
+# --- pipes ---------------------------------------------------------------------------------------
+
+
+class Pipe:
+    def __init__(self, data=b""):
+        import io
+
+        self.buffer = io.BytesIO(data)
+
+    def flush(self):
+        pass
+
+
+def through(spark, monkeypatch, data, *args):
+    import sys
+
+    out = Pipe()
+    monkeypatch.setattr(sys, "stdin", Pipe(data))
+    monkeypatch.setattr(sys, "stdout", out)
+    run(spark, *args)
+    monkeypatch.undo()
+    return out.buffer.getvalue()
+
+
+def test_standard_input_and_output(spark, pairs_file, tmp_path, monkeypatch):
+    raw = open(pairs_file, "rb").read()
+    out = through(spark, monkeypatch, raw, "select", "pos1 > 5").decode().splitlines()
+    assert [x.split("\t")[0] for x in out if not x.startswith(("##", "#s", "#g", "#c"))] == ['q"1', "c", "d"]
+    assert any("CL:contactloom select 'pos1 > 5'" in x for x in out)
+    again = through(spark, monkeypatch, gzip.compress(raw), "sort", "-", "-o", "-").decode().splitlines()
+    assert [x.split("\t")[0] for x in again if not x.startswith(("##", "#s", "#g", "#c"))] == ["e", "b", 'q"1', "c", "d", "#odd"]
+    assert b"total\t6\n" in through(spark, monkeypatch, raw, "stats")
+    run(spark, "sort", pairs_file, "-o", str(tmp_path / "x.pairs"), "--cmd-in", "cat", "--cmd-out", "tr a-z A-Z")
+    assert "B\t!\t0\tCHR1" in (tmp_path / "x.pairs").read_text()
+    run(spark, "sort", pairs_file, "-o", str(tmp_path / "x.pairs.bz2"))
+    run(spark, "select", "True", str(tmp_path / "x.pairs.bz2"), "-o", str(tmp_path / "y.pairs"))
+    assert len(body(str(tmp_path / "y.pairs"))) == 6
+
+
+def test_headers_of_sinks(spark, pairs_file, tmp_path):
+    for to, want in (("dedup", (True, False, True)), ("dups", (False, True, True)), ("both", (True, True, True)), ("none", (False, False, True))):
+        names = [str(tmp_path / f"{to}{k}.pairs") for k in range(3)]
+        run(spark, "dedup", pairs_file, "-o", names[0], "--output-dups", names[1], "--output-unmapped", names[2], "--send-header-to", to)
+        assert tuple(open(n).read().startswith("##") for n in names) == want
+    joined = str(tmp_path / "joined.pairs")
+    run(spark, "dedup", pairs_file, "-o", joined, "--output-dups", "-", "--output-unmapped", "-")
+    assert len(body(joined)) == 6
+
+
+def test_merged_statistics(spark, pairs_file, tmp_path):
+    one, two, both = (str(tmp_path / n) for n in ("1.tsv", "2.tsv", "both.tsv"))
+    run(spark, "stats", pairs_file, "-o", one)
+    text = open(one).read()
+    assert "chromsizes/chr1\t200\n" in text and "summary/complexity_naive\t" in text and "summary/dist_freq_convergence/convergence_dist\t" in text
+    run(spark, "stats", "--merge", one, one, "-o", both)
+    got = dict(x.split("\t") for x in open(both).read().splitlines())
+    alone = dict(x.split("\t") for x in text.splitlines())
+    assert got["chromsizes/chr1"] == "200" and got["total"] == "12" and got["summary/frac_cis"] == alone["summary/frac_cis"] and set(got) == set(alone)
+    (tmp_path / "2.tsv").write_text(text.replace("chromsizes/chr1\t200", "chromsizes/chr1\t201"))
+    with pytest.raises(ValueError):
+        run(spark, "stats", "--merge", one, two, "-o", both)
+    run(spark, "stats", "--no-chromsizes", pairs_file, "-o", two)
+    assert "chromsizes" not in open(two).read()
+    run(spark, "stats", "--merge", one, two, "-o", both)
+    assert "chromsizes/chr2\t100\n" in open(both).read()
+    for n in (one, two):
+        run(spark, "stats", pairs_file, "-o", n.replace("tsv", "yml"), "--yaml")
+    run(spark, "stats", "--merge", "--yaml", one.replace("tsv", "yml"), two.replace("tsv", "yml"), "-o", both)
+    assert stats_text.read_stats_yaml(spark, both).filter("key = 'total'").first().value == 12
+
+
+def test_other_column_names_in_coverage(spark, pairs_file, tmp_path):
+    names = str(tmp_path / "n.pairs")
+    run(spark, "header", "set-columns", pairs_file, "-o", names, "--columns", "r,a,b,c,d,e,f,g")
+    low, high = str(tmp_path / "l.pairs"), str(tmp_path / "h.pairs")
+    run(spark, "filterbycov", names, "--c1", "a", "--p1", "b", "--c2", "3", "--p2", "d", "--max-cov", "1", "-o", low, "--output-highcov", high)
+    assert len(body(low)) + len(body(high)) == 4
+
+
+def test_parsed_alignments_as_lines(spark, tmp_path):
+    (tmp_path / "x.sam").write_text("@SQ\tSN:chr1\tLN:1000\nq\t65\tchr1\t10\t60\t25M25S\t*\t0\t0\t*\t*\nq\t2113\tchr1\t300\t60\t25S25M\t*\t0\t0\t*\t*\nq\t129\tchr1\t500\t60\t50M\t*\t0\t0\t*\t*\n")
+    (tmp_path / "sizes").write_text("chr1\t1000\n")
+    run(spark, "parse", tmp_path / "x.sam", "-c", tmp_path / "sizes", "-o", tmp_path / "o.pairs", "--output-parsed-alignments", tmp_path / "a.txt")
+    assert (tmp_path / "a.txt").read_text().splitlines() == [
+        "q\t1\tchr1\t10\t+\t60\t25M25S\t0\t25\t25\tchr1\t300\t+\t60\t25S25M\t25\t50\t25\t", "q\t2\tchr1\t500\t+\t60\t50M\t0\t50\t50\t",
+    ]
