@@ -10,7 +10,7 @@ from contactloom.operators import coverage, intervals, order, rowwise, scaling,
 from contactloom.operators.dedup import Dedup
 from contactloom.operators.parse import all_alignments, parse_sam
 from contactloom.operators.walks import POLICIES, WalkOptions
-from contactloom.plans import derive
+from contactloom.plans import derive, walk_sql
 from contactloom.schema import PAIRS_COLUMNS
 
 QUERIES: dict = {}
@@ -256,6 +256,45 @@ def stats_summary(spark, d):
     return stats.summary(stats.PairStats(derive.pairs(spark, d)).counts())
 
 
+COMPLEXITY = f"""WITH RECURSIVE c AS ({_counts_sql()}),
+w AS (SELECT max(value) FILTER (key = 'total_mapped')::DOUBLE AS n, (max(value) FILTER (key = 'total_mapped') - max(value) FILTER (key = 'total_dups'))::DOUBLE AS u FROM c),
+bisect(step, lo, hi) AS (SELECT 0, u, n * 1e6 FROM w UNION ALL
+  SELECT step + 1, CASE WHEN m * (1 - exp(-n / m)) < u THEN m ELSE lo END, CASE WHEN m * (1 - exp(-n / m)) < u THEN hi ELSE m END
+  FROM (SELECT *, (lo + hi) / 2 AS m FROM bisect), w WHERE step < 120)
+SELECT 'no_filter' AS filter, round(lo)::BIGINT AS complexity_naive FROM bisect WHERE step = 120"""
+
+
+@query(COMPLEXITY)
+def stats_complexity(spark, d):
+    """Distinct molecules of the library, to whole ones; the SQL finds them by bisection."""
+    out = stats.full_summary(stats.PairStats(derive.pairs(spark, d)))
+    return spark.createDataFrame([(k, round(v["summary/complexity_naive"])) for k, v in out.items()], "filter string, complexity_naive long")
+
+
+def _labels() -> str:
+    e = stats_edges()
+    return ", ".join(f"({lo}::BIGINT, '{t}')" for lo, t in zip(e, [*(f"{x}-{y}" for x, y in zip(e, e[1:])), f"{e[-1]}+"]))
+
+
+LONG = f"""{DIST}, lab(lo, label) AS (VALUES {_labels()})
+SELECT * FROM ({_counts_sql()})
+UNION ALL SELECT 'no_filter', 'pair_types/' || pair_type, count(*)::BIGINT FROM pairs GROUP BY pair_type
+UNION ALL SELECT 'no_filter', 'chrom_freq/' || chrom1 || '/' || chrom2, count(*)::BIGINT FROM f WHERE live GROUP BY chrom1, chrom2
+UNION ALL SELECT filter, 'dist_freq/' || label || '/' || strands, value FROM q JOIN lab ON lo = min_dist"""
+
+
+@query(LONG)
+def stats_long(spark, d):
+    return stats.PairStats(derive.pairs(spark, d)).long()
+
+
+@query(ORACLE["stats_summary"])
+def stats_merge_summary(spark, d):
+    """Shares computed from the merged counts of three parts of the pairs."""
+    df = derive.pairs(spark, d)
+    return stats.summary(stats.merge_stats([stats.PairStats(df.filter(F.col("_ord") % 3 == k)).long() for k in range(3)]))
+
+
 @query(_counts_sql())
 def stats_merge(spark, d):
     df = derive.pairs(spark, d)
@@ -429,7 +468,20 @@ def scaling_by_strands(spark, d):
     return scaling.by_strands(_scaling(spark, d).cis())
 
 
-@query()
+DENSE = f"""WITH {SCALED}, st(strand1, strand2) AS (VALUES ('+', '+'), ('+', '-'), ('-', '+'), ('-', '-')),
+dc AS (SELECT chrom AS chrom1, s AS start1, e AS end1, chrom AS chrom2, s AS start2, e AS end2, strand1, strand2, lo AS min_dist, hi AS max_dist
+  FROM arms CROSS JOIN st CROSS JOIN b),
+dt AS (SELECT a.chrom AS chrom1, a.s AS start1, a.e AS end1, c.chrom AS chrom2, c.s AS start2, c.e AS end2, strand1, strand2
+  FROM arms a JOIN arms c ON a.chrom <> c.chrom OR a.s <> c.s OR a.e <> c.e CROSS JOIN st)
+SELECT dc.*, coalesce(n_pairs, 0)::BIGINT AS n_pairs,
+  0.5::DOUBLE * (greatest(end1 - start1 - min_dist, 0)::BIGINT * greatest(end1 - start1 - min_dist, 0)::BIGINT
+   - greatest(end1 - start1 - max_dist, 0)::BIGINT * greatest(end1 - start1 - max_dist, 0)::BIGINT)::DOUBLE AS n_bp2
+FROM dc LEFT JOIN (SELECT * EXCLUDE (n_bp2, max_dist) FROM cis) x USING (chrom1, start1, end1, chrom2, start2, end2, strand1, strand2, min_dist)
+UNION ALL SELECT dt.*, NULL, NULL, coalesce(n_pairs, 0)::BIGINT, ((end1 - start1) * (end2 - start2))::DOUBLE
+FROM dt LEFT JOIN (SELECT * EXCLUDE (n_bp2) FROM trans) x USING (chrom1, start1, end1, chrom2, start2, end2, strand1, strand2)"""
+
+
+@query(DENSE)
 def scaling_dense(spark, d):
     return _scaling(spark, d).table(dense=True)
 
@@ -458,23 +510,24 @@ def parse(spark, d):
     return parse_sam(derive.sam_lines(spark, d), chroms, flip=False, drop_sam=True).drop("_ord")
 
 
-def _walks(name: str, options: WalkOptions) -> None:
+def _walks(name: str, options: WalkOptions, sql: str) -> None:
     def run(spark, d):
         lines = derive.sam_lines(spark, d, chimeric=True)
         return parse_sam(lines, derive.chrom_order(spark, d, 10**9), options, drop_sam=True, add_pair_index=True).drop("_ord")
 
     run.__name__ = name
-    query()(run)
+    query(sql)(run)
 
 
+OUTER, JUNCTION = {"R1": (2,), "R1-2": ()}, {"R1": (1,), "R1-2": (1, 2)}
 for _policy in POLICIES:
-    _walks(f"parse_walks_{_policy}", WalkOptions(policy=_policy))
-_walks("parse2_outer", WalkOptions(parse2=True, max_size=500))
-_walks("parse2_junction", WalkOptions(parse2=True, max_size=500, position="junction", orientation="junction"))
-_walks("parse2_expand", WalkOptions(parse2=True, max_size=500, expand=True))
+    _walks(f"parse_walks_{_policy}", WalkOptions(policy=_policy), walk_sql.all_contacts(750, True, OUTER) if _policy == "all" else walk_sql.one_contact(_policy))
+_walks("parse2_outer", WalkOptions(parse2=True, max_size=500), walk_sql.all_contacts(500, False, OUTER))
+_walks("parse2_junction", WalkOptions(parse2=True, max_size=500, position="junction", orientation="junction"), walk_sql.all_contacts(500, False, JUNCTION))
+_walks("parse2_expand", WalkOptions(parse2=True, max_size=500, expand=True), walk_sql.all_contacts(500, False, OUTER, True))
 
 
-@query()
+@query(walk_sql.ALIGNMENTS)
 def parsed_alignments(spark, d):
     return all_alignments(derive.sam_lines(spark, d, chimeric=True))
 
