@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from dataclasses import asdict, fields
+from dataclasses import fields
 
 import pandas as pd
 import pyarrow as pa
@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from contactloom.functions.predicates import compile_value
 from contactloom.operators.rowwise import chrom_rank
 from contactloom.operators.walks import TURNED, Alignment, WalkOptions, mismatches, molecule_contacts
-from contactloom.runtime import ship
+from contactloom.runtime import Scratch, ship
 from contactloom.schema import EXTRA_COLUMNS, SAM_ENTRY_SEP, SAM_SEP, UNMAPPED_CHROM
 from contactloom.sources.sam import sam_table, tag
 
@@ -108,14 +108,15 @@ def _mismatch_udf():
 def molecules(algns: DataFrame, readid_transform: str | None = None) -> DataFrame:
     """(readID, molecule, side1, side2, sams1, sams2, all1): the alignments of each read name, those of
     the first read by flag and all others, in the order of their start in the read. Lines of one name
-    belong together wherever they stand; molecule is the place of the first of them."""
-    name = F.col("qname")
+    belong together wherever they stand; molecule is the place of the first of them. Lines without a name
+    ('*', '.' or nothing) tell nothing of each other, so each is a molecule of its own."""
+    name, nameless = F.col("qname"), F.coalesce(F.col("qname"), F.lit("")).isin("*", ".", "")
     if readid_transform is not None:
         algns = algns.withColumn("readID", F.col("qname"))
         name = compile_value(readid_transform, ["readID"]).cast("string")
     order = F.struct((F.col("flag").bitwiseAND(128) != 0).alias("second"), F.col("_start").alias("start"), F.col("_ord").alias("ord"),
                      (F.col("flag").bitwiseAND(64) != 0).alias("first"), "algn", "sam")
-    read = algns.groupBy(name.alias("readID")).agg(F.min("_ord").alias("molecule"), F.sort_array(F.collect_list(order)).alias("all"))
+    read = algns.groupBy(name.alias("readID"), F.when(nameless, F.col("_ord")).alias("_alone")).agg(F.min("_ord").alias("molecule"), F.sort_array(F.collect_list(order)).alias("all"))
     first, other = F.filter("all", lambda x: x["first"]), F.filter("all", lambda x: ~x["first"])
     pick = lambda a, k: F.transform(a, lambda x: x[k])
     return read.select(
@@ -127,23 +128,28 @@ def molecules(algns: DataFrame, readid_transform: str | None = None) -> DataFram
 def _walk_batches(options: WalkOptions):
     """Batches of molecules to batches of contacts; a molecule's other columns are taken along, once for
     each of its contacts."""
+    names = [f.name for f in ALIGNMENT.fields]
+
+    def given(algns: list[dict]) -> list[Alignment]:
+        return [Alignment(**{**a, "tags": {t["name"]: t["value"] for t in a["tags"]}}) for a in algns]
+
+    def column(algns: list[Alignment], kind: pa.StructType) -> pa.Array:
+        values = {n: [getattr(a, n) for a in algns] for n in names}
+        values["tags"] = [[{"name": k, "value": v} for k, v in t.items()] for t in values["tags"]]
+        return pa.StructArray.from_arrays([pa.array(values[f.name], f.type) for f in kind], fields=list(kind))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("a1", _arrow()), ("a2", _arrow()), ("walk_pair_index", pa.int32()), ("walk_pair_type", pa.string())])
+        kind = _arrow()
         for batch in batches:
-            out, at = [], []
+            found, at = [], []
             for n, (s1, s2) in enumerate(zip(batch.column("side1").to_pylist(), batch.column("side2").to_pylist())):
-                left, right = ([Alignment(**{**a, "tags": {t["name"]: t["value"] for t in a["tags"]}}) for a in s] for s in (s1, s2))
-                for c in molecule_contacts(left, right, options)[0]:
-                    at.append(n)
-                    out.append({"a1": asdict(c.left), "a2": asdict(c.right), "walk_pair_index": c.index, "walk_pair_type": c.kind})
-            for r in out:
-                for a in ("a1", "a2"):
-                    r[a]["tags"] = [{"name": k, "value": v} for k, v in r[a]["tags"].items()]
+                contacts = molecule_contacts(given(s1), given(s2), options)[0]
+                found += contacts
+                at += [n] * len(contacts)
             taken = pa.Table.from_batches([batch]).drop_columns(["side1", "side2"]).take(pa.array(at, pa.int64()))
-            for name, column in zip(schema.names, pa.Table.from_pylist(out, schema=schema).columns):
-                taken = taken.append_column(name, column)
-            yield from taken.combine_chunks().to_batches()
+            taken = taken.append_column("a1", column([c.left for c in found], kind)).append_column("a2", column([c.right for c in found], kind))
+            taken = taken.append_column("walk_pair_index", pa.array([c.index for c in found], pa.int32()))
+            yield from taken.append_column("walk_pair_type", pa.array([c.kind for c in found], pa.string())).combine_chunks().to_batches()
 
     return run
 
@@ -167,8 +173,10 @@ def contacts(reads: DataFrame, options: WalkOptions) -> DataFrame:
     """reads with a1, a2, walk_pair_index and walk_pair_type for each contact of a molecule.
 
     Molecules with one alignment on each side and no gap before it, the bulk of a library, are parsed
-    by column expressions; the others go through Arrow batches to the walk parser."""
+    by column expressions; the others go through Arrow batches to the walk parser. The molecules are
+    written, as both kinds are picked from them and grouping reads shuffles all lines."""
     ship(reads.sparkSession)
+    reads = Scratch(reads.sparkSession, "molecules").write(reads)
     gap = options.max_gap
     one = (F.size("side1") == 1) & (F.size("side2") == 1)
     for side in ("side1", "side2"):
@@ -213,7 +221,8 @@ def parse_sam(
     elif drop_seq:
         cells = F.split("sam", "\t", -1)
         algns = algns.withColumn("sam", F.array_join(F.transform(cells, lambda x, i: F.when(i.isin(9, 10), F.lit("*")).otherwise(x)), "\t"))
-    found = contacts(molecules(algns, readid_transform), options)
+    reads = molecules(algns, readid_transform)
+    found = contacts(reads.drop("sams1", "sams2") if drop_sam else reads, options)
     pos = "pos5" if report_end == "5" else "pos3"
     a, b = F.col("a1"), F.col("a2")
     if flip:
@@ -224,7 +233,7 @@ def parse_sam(
         wrong = F.when(both, by_place(a) > by_place(b)).otherwise(by_mapping(a) > by_mapping(b))
         found = found.withColumn("_w", F.coalesce(wrong, F.lit(False)))
         turn = lambda x, y: {x: F.when(F.col("_w"), F.col(y)).otherwise(F.col(x)), y: F.when(F.col("_w"), F.col(x)).otherwise(F.col(y))}
-        found = found.withColumns({**turn("a1", "a2"), **turn("sams1", "sams2")})
+        found = found.withColumns({**turn("a1", "a2"), **({} if drop_sam else turn("sams1", "sams2"))})
     kind = F.concat(a["type"], b["type"])
     out = {
         "readID": F.lit(".") if drop_readid else F.col("readID"), "chrom1": a["chrom"], "pos1": a[pos], "chrom2": b["chrom"], "pos2": b[pos],
