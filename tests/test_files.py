@@ -179,6 +179,40 @@ def test_bam(spark, tmp_path):
     assert [r.value for r in lines.collect()] == ["q1\t65\tchr1\t10\t60\t2M1S\t=\t20\t7\tACG\t?@A\tNM:i:3\tXS:Z:abc\tZB:B:s,-1,5\tFF:f:1.5"]
 
 
+def blocked(data, sizes):
+    """data as blocks, each with its size in its head, and the empty block at the end."""
+    out, at, k = b"", 0, 0
+    while True:
+        part = data[at : at + sizes[k % len(sizes)]]
+        z = zlib.compressobj(6, zlib.DEFLATED, -15)
+        raw = z.compress(part) + z.flush()
+        head = b"\x1f\x8b\x08\x04\0\0\0\0\0\xff\x06\0BC\x02\0" + struct.pack("<H", len(raw) + 25)
+        out += head + raw + struct.pack("<II", zlib.crc32(part), len(part))
+        if not part:
+            return out
+        at, k = at + len(part), k + 1
+
+
+def many_records(n):
+    text = b"@SQ\tSN:chr1\tLN:100000\n"
+    data = b"BAM\1" + struct.pack("<i", len(text)) + text + struct.pack("<ii", 1, 5) + b"chr1\0" + struct.pack("<i", 100_000)
+    for i in range(n):
+        name = b"read%d\0" % i
+        seq = 4 + 97 * (i % 11) + (40_000 if i == n // 2 else 0)
+        body = struct.pack("<iiBBHHHiiii", 0, i, len(name), 60, 0, 1, 65, seq, -1, -1, 0) + name + struct.pack("<I", seq << 4)
+        body += bytes([0x12]) * ((seq + 1) // 2) + bytes([30]) * seq
+        data += struct.pack("<i", len(body)) + body
+    return data
+
+
+@pytest.mark.parametrize("step", [300, 5000, 10**6])
+def test_ranges_of_a_bam_file_give_each_record_once(spark, tmp_path, step):
+    (tmp_path / "x.bam").write_bytes(blocked(many_records(400), [700, 65, 3000, 20000]))
+    lines, top = bam.read_bam(spark, str(tmp_path / "x.bam"), step)
+    assert top == ["@SQ\tSN:chr1\tLN:100000"]
+    assert [r.value.split("\t")[0] for r in lines.orderBy("_ord").collect()] == [f"read{i}" for i in range(400)]
+
+
 def test_streams(spark, pairs_file, tmp_path, frame):
     import shutil
 
