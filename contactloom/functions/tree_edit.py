@@ -7,7 +7,10 @@ in another is one move."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
+from difflib import SequenceMatcher
+from functools import lru_cache
 
 import numpy as np
 
@@ -66,19 +69,31 @@ def assignment(cost: np.ndarray) -> np.ndarray:
     return out
 
 
+@lru_cache(maxsize=1 << 16)
+def unlike(a: str, b: str) -> float:
+    """Cost of taking b for a renamed a: 0 for names that differ in case and signs only, 4 for names without
+    a common letter; names less than half alike cost more than a removal and an addition."""
+    plain = ["".join(c for c in x.lower() if c.isalnum()) or x for x in (a, b)]
+    return 4.0 * (1.0 - SequenceMatcher(None, *plain, autojunk=False).ratio())
+
+
 class Differ:
-    """rename_across: cost of matching nodes of different identity as one renamed node. With a
-    dictionary of names, identities are certain, so by default such a match costs more than a removal
-    and an addition and is never made; give it a value below 2 where names are only what is written."""
+    """rename_across: cost of matching nodes of different identity as one renamed node, a number or a
+    function of both identities. With a dictionary of names, identities are certain, so by default such a
+    match costs more than a removal and an addition and is never made; where names are only what is
+    written, a function such as unlike lets the least-cost assignment decide what was renamed to what."""
 
-    def __init__(self, rename_across: float = 3.0, rename: float = 1.0, retype: float = 1.0):
+    def __init__(self, rename_across: float | Callable[[str, str], float] = 3.0, rename: float = 1.0, retype: float = 1.0):
         self.rename_across, self.rename, self.retype = rename_across, rename, retype
 
     def distance(self, a: Node, b: Node) -> float:
         return self._label(a, b) + self._pair(a.children, b.children)[0]
 
     def _label(self, a: Node, b: Node) -> float:
-        across = self.rename_across if a.identity != b.identity else self.rename * (a.written != b.written)
+        if a.identity == b.identity:
+            across = self.rename * (a.written != b.written)
+        else:
+            across = self.rename_across(a.identity, b.identity) if callable(self.rename_across) else self.rename_across
         return across + self.retype * (a.kind != b.kind)
 
     def _pair(self, old: tuple[Node, ...], new: tuple[Node, ...]):
@@ -87,7 +102,7 @@ class Differ:
         pairs: list[tuple[int, int]] = []
         cost = 0.0
         rest_old, rest_new = list(range(len(old))), list(range(len(new)))
-        if self.rename_across >= 2:
+        if not callable(self.rename_across) and self.rename_across >= 2:
             at: dict[str, list[int]] = {}
             for j in rest_new:
                 at.setdefault(new[j].identity, []).append(j)

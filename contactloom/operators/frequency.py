@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from contactloom.runtime import Scratch, join_unique
+from contactloom.runtime import Scratch, hot_limit, join_unique
 
 #: Bits of the value that one pass of the percentile selection settles.
 RADIX = 14
@@ -78,9 +78,12 @@ class ValueFrequencies:
         count = freq.groupBy("key", *names).agg(F.sum("n").alias("total"))
         ranks = F.array(*[F.struct(F.lit(float(p)).alias("share"), F.greatest(F.lit(1), F.ceil(F.col("total") * F.lit(float(p)))).cast("long").alias("rank"), F.lit(None).cast("long").alias("prefix")) for p in shares])
         targets = self.scratch.write(count.select("key", *names, ranks.alias("targets")))
+        values = freq.groupBy("key").agg(F.count(F.lit(1)).alias("_n"))
+        limit = hot_limit(freq.count())
+        hot = [] if values.filter(F.col("_n") > limit).isEmpty() else values.filter(F.col("_n") > limit).select("key")
         for k in reversed(range(passes)):
             shift = k * RADIX
-            joined = join_unique(freq.select("key", "value", "n"), targets.select("key", "targets"), ["key"])
+            joined = join_unique(freq.select("key", "value", "n"), targets.select("key", "targets"), ["key"], hot=hot)
             each = joined.select("key", "value", "n", F.explode("targets").alias("t")).filter(
                 F.col("t.prefix").isNull() | (F.shiftright("value", shift + RADIX) == F.col("t.prefix"))
             )

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from contactloom.functions.tree_edit import Differ, Edit, Node
+from contactloom.functions.tree_edit import Differ, Edit, Node, unlike
 from contactloom.runtime import Scratch, join_unique, lag_over_ranges
 from contactloom.schema import PAIRS_COLUMNS, POSITION_COLUMNS
 
@@ -60,29 +60,37 @@ def schema_tree(fields: list[dict]) -> Node:
     return Node("", children=tuple(first.values()))
 
 
-def _scripts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    differ = Differ()
-    for batch in batches:
-        rows = []
-        for file_id, old, new in zip(*(batch.column(i).to_pylist() for i in range(3))):
-            for e in differ.script(schema_tree(old), schema_tree(new)):
-                rows.append((file_id, e.path[-1], e.op, e.old, e.new))
-        columns = list(zip(*rows)) if rows else [()] * 5
-        kinds = [pa.int64(), *[pa.string()] * 4]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(c, k) for c, k in zip(columns, kinds)], names=["file_id", "field_name", "change_kind", "old", "new"]
-        )
-
-
-def schema_changes(headers: DataFrame, field_names: DataFrame) -> DataFrame:
+def _scripts(known: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        differ = Differ() if known else Differ(unlike)
+        for batch in batches:
+            rows = []
+            for file_id, old, new in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                for e in differ.script(schema_tree(old), schema_tree(new)):
+                    rows.append((file_id, e.path[-1], e.op, e.old, e.new))
+            columns = list(zip(*rows)) if rows else [()] * 5
+            kinds = [pa.int64(), *[pa.string()] * 4]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, k) for c, k in zip(columns, kinds)], names=["file_id", "field_name", "change_kind", "old", "new"]
+            )
+
+    return run
+
+
+def schema_changes(headers: DataFrame, field_names: DataFrame | None) -> DataFrame:
     """(file_id, field_name, change_kind, old, new): the least-cost edit script that turns the schema
     of the file before it in its series, by created_at, into a file's own. The first file of a series
-    has no changes, the order of columns is no change. Files without series form one series."""
+    has no changes, the order of columns is no change. Files without series form one series.
+    Without field_names nothing says which names are one field; then names that are much alike are
+    matched as renamed where that makes the script cheapest."""
     scratch = Scratch(headers.sparkSession, "drift")
+    known = field_names is not None
+    if field_names is None:
+        field_names = headers.sparkSession.createDataFrame([], "written_as string, field_name string")
     files = file_schemas(headers, field_names, scratch)
     pairs = lag_over_ranges(files, ["series"], ["created_at", "file_id"], ["fields"], scratch).filter("has_prev")
     return pairs.select(F.col("file_id").cast("long"), "prev_fields", "fields").mapInArrow(
-        _scripts, "file_id long, field_name string, change_kind string, old string, new string"
+        _scripts(known), "file_id long, field_name string, change_kind string, old string, new string"
     )
 
 

@@ -20,6 +20,12 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return changes.select("file_id", "field_name", "change_kind").distinct()
 
 
+def p2_guessed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The changes as they look without the dictionary of names: what was renamed to what is decided by
+    the least-cost edit script alone."""
+    return schema_changes(table(spark, sf_dir, "pairs_headers"), None)
+
+
 def _check(spark: SparkSession, sf_dir: str) -> LineCheck:
     return LineCheck(*(table(spark, sf_dir, n) for n in ("raw_lines", "pairs_headers", "field_names", "chromsizes")))
 
@@ -92,7 +98,7 @@ def p5_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p2_found, p2_unified, p2_cells, p3_found, p3_clean, p3_rows, p4_found, p4_descendants, p5_found, p5_profile)
+    for f in (p2_found, p2_guessed, p2_unified, p2_cells, p3_found, p3_clean, p3_rows, p4_found, p4_descendants, p5_found, p5_profile)
 }
 
 FILES = r"""

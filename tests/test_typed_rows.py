@@ -64,3 +64,21 @@ def test_the_table_follows_the_scripts(check, monkeypatch):
     monkeypatch.setattr(tree_edit.Differ, "script", lambda self, a, b: [Edit("removed", (c.identity,), c.written) for c in a.children if c.identity != "readID"])
     batch = schema_drift.pa.RecordBatch.from_pylist([{"file_id": 1, "fields": [dict(f.asDict(), unified=f.type) for f in fields]}])
     assert [[s["field"] for s in r["fields"]] for r in next(schema_drift._projections([batch])).to_pylist()] == [["readID"]]
+
+
+def test_renamed_fields_without_a_dictionary(frame):
+    from contactloom.operators.schema_drift import schema_changes
+
+    rows = [
+        (1, "s", 1, "#columns: readID chrom1 pos1 mapq1 mapq2 walk_pair_index", None), (2, "s", 2, "#columns: read_id chrom1 POS_1 mapq_2 mapq_1 cigar1", "POS_1:int"),
+        (3, "t", 1, "#columns: alpha beta", None), (4, "t", 2, "#columns: zzz beta", None),
+    ]
+    headers = frame(
+        [(i, s, at, at, line, casts, "none") for i, s, at, line, casts in rows],
+        "file_id long, series string, created_at int, received_at int, columns_line string, type_casts string, quoting string",
+    )
+    got = sorted((r.file_id, r.change_kind, r.old, r.new) for r in schema_changes(headers, None).collect() if r.change_kind != "retyped")
+    assert got == [
+        (2, "added", None, "cigar1"), (2, "removed", "walk_pair_index", None), (2, "renamed", "mapq1", "mapq_1"), (2, "renamed", "mapq2", "mapq_2"),
+        (2, "renamed", "pos1", "POS_1"), (2, "renamed", "readID", "read_id"), (4, "added", None, "zzz"), (4, "removed", "alpha", None),
+    ]
