@@ -224,6 +224,8 @@ class SharedSpans:
         few, self.many = shared.filter(F.col("n") <= shard), shared.filter(F.col("n") > shard)
         n = few.count()
         shards = max(1, n // shard, min(spark.sparkContext.defaultParallelism, n // 500))
+        # a shard is little to shuffle and much to compute, so they are not joined to tasks by their bytes
+        self.tasks = min(shards, max(2 * spark.sparkContext.defaultParallelism, shards // 32))
         large = scratch.write(few.groupBy("leader").agg(F.count(F.lit(1)).alias("places")).filter(F.col("places") > shard).select("leader"))
         # leaders of more than a shard's places are at most one in so many places
         spread = few.join(large.withColumn("large", F.lit(True)), "leader", "left")
@@ -243,6 +245,7 @@ class SharedSpans:
     def _by_shard(self, kernel, schema: str) -> DataFrame:
         length, cut = self.length, _segments(self.length, self.k)
         segments = self._texts(self.wanted).mapInArrow(cut, "shard long, doc long, start long, segment string")
+        segments = segments.repartition(self.tasks, "shard")
         return self.scratch.write(segments.groupBy("shard").applyInArrow(lambda t: kernel(t, length), schema))
 
     def _classes(self) -> tuple[DataFrame, DataFrame] | None:
