@@ -69,14 +69,15 @@ def block_numbers(*keys: np.ndarray) -> np.ndarray:
 
 
 def greedy_leaders(p: np.ndarray, q: np.ndarray, reach: int, method: str) -> np.ndarray:
-    """For points of one group in input order: the place of the leader that removes each point, its
-    own place for a leader. A point that is still there removes all later points near it that lie at
-    or beyond it in p."""
+    """For points of one group in the order of p: the place of the leader that removes each point, its own
+    place for a leader. A point that is still there removes all later points near it; those are among the
+    next ones by p, so dense groups are gone through once."""
     out = np.full(len(p), -1, np.int64)
-    for i in range(len(p)):
+    ends = np.searchsorted(p, p + reach, "right")
+    for i, end in enumerate(ends.tolist()):
         if out[i] >= 0:
             continue
         out[i] = i
-        near = within(p[i + 1 :] - p[i], q[i + 1 :] - q[i], reach, method) & (p[i + 1 :] >= p[i]) & (out[i + 1 :] < 0)
-        out[i + 1 :][near] = i
+        near = within(p[i + 1 : end] - p[i], q[i + 1 : end] - q[i], reach, method) & (out[i + 1 : end] < 0)
+        out[i + 1 : end][near] = i
     return out

@@ -7,7 +7,6 @@ from collections.abc import Sequence
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from contactloom.functions.grid import block_numbers, cell_candidates, greedy_leaders, stars, within
@@ -103,7 +102,7 @@ class Dedup:
         several to a task, their distinct points in order."""
 
         def run(batch):
-            batch = batch.sort_values(["root", "rank"], kind="stable")
+            batch = batch.sort_values(["root", "_pa", "_pb"], kind="stable")  # no two points of a component are equal
             leader = np.empty(len(batch), np.int64)
             root, p, q, pid = (batch[c].to_numpy() for c in ("root", "_pa", "_pb", "pid"))
             cuts = np.r_[0, np.nonzero(root[1:] != root[:-1])[0] + 1, len(root)]
@@ -111,8 +110,7 @@ class Dedup:
                 leader[a:b] = pid[a:b][greedy_leaders(p[a:b], q[a:b], reach, method)]
             return batch[["pid"]].assign(leader=leader)
 
-        ranked = joined.withColumn("rank", F.row_number().over(W.partitionBy("root").orderBy("_pa", "_pb", "first")))
-        led = ranked.select("root", "rank", "_pa", "_pb", "pid", F.pmod(F.xxhash64("root"), F.lit(tasks)).alias("task"))
+        led = joined.select("root", "_pa", "_pb", "pid", F.pmod(F.xxhash64("root"), F.lit(tasks)).alias("task"))
         leaders = led.groupBy("task").applyInPandas(run, "pid long, leader long")
         firsts = joined.select(F.col("pid").alias("leader"), F.col("first").alias("_kept"))
         return self.scratch.write(joined.join(leaders, "pid").join(firsts, "leader").select(*self.point, "n", "_kept"))

@@ -122,7 +122,7 @@ class Scaling:
         return self.cis(dense).unionByName(self.trans(dense), allowMissingColumns=True)
 
 
-def _area_sum() -> Column:
+def area_sum() -> Column:
     """Sum of areas, which are whole or half numbers, the same in whatever order they are added."""
     return F.sum((F.col("n_bp2") * 2).cast("decimal(38,0)")).cast("double") / 2
 
@@ -130,7 +130,7 @@ def _area_sum() -> Column:
 def by_strands(cis: DataFrame) -> DataFrame:
     """P(s) of each strand combination over all regions."""
     return cis.groupBy(*STRANDS, "min_dist", "max_dist").agg(
-        F.sum("n_pairs").alias("n_pairs"), _area_sum().alias("n_bp2")
+        F.sum("n_pairs").alias("n_pairs"), area_sum().alias("n_bp2")
     ).withColumn("density", F.when(F.col("n_bp2") > 0, F.col("n_pairs") / F.col("n_bp2")))
 
 

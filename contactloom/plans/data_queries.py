@@ -37,7 +37,10 @@ def p2_unified(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p2_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cells of p2_unified that no fixed column holds, one row each with the value it is typed to."""
-    df = p2_unified(spark, sf_dir)
+    return _cells(p2_unified(spark, sf_dir))
+
+
+def _cells(df: DataFrame) -> DataFrame:
     cells = df.select("file_id", "line_no", "ints", "floats", "texts", F.explode("extras").alias("field_name", "written"))
     at = lambda m: F.try_element_at(m, F.col("field_name"))
     return cells.select(
@@ -58,6 +61,11 @@ def p3_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _check(spark, sf_dir).rows()
 
 
+def p3_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cells of p3_rows that no fixed column holds, one row each, typed as their own file says."""
+    return _cells(p3_rows(spark, sf_dir))
+
+
 def _programs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hierarchy(table(spark, sf_dir, "programs"), ["file_id"], "id", "pp")
 
@@ -98,7 +106,7 @@ def p5_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p2_found, p2_guessed, p2_unified, p2_cells, p3_found, p3_clean, p3_rows, p4_found, p4_descendants, p5_found, p5_profile)
+    for f in (p2_found, p2_guessed, p2_unified, p2_cells, p3_found, p3_clean, p3_rows, p3_cells, p4_found, p4_descendants, p5_found, p5_profile)
 }
 
 FILES = r"""
@@ -180,6 +188,10 @@ FROM v JOIN u ON field = field_name
 WHERE field_name NOT IN ('readID', 'chrom1', 'pos1', 'chrom2', 'pos2', 'strand1', 'strand2', 'pair_type')
 """
 
+P3_CELLS = P2_CELLS.replace("unnest(fields[1 : len(cells)]) AS field_name", "unnest(types[1 : len(cells)]) AS type, unnest(fields[1 : len(cells)]) AS field_name").replace(
+    "cells, fields FROM k", "cells, fields, types FROM k"
+).replace("FROM v JOIN u ON field = field_name", "FROM v").replace("type = 'str'", "type NOT IN ('int', 'float')")
+
 TREE = """
 WITH RECURSIVE n AS (SELECT file_id, id, min(nullif(pp, '')) AS pp FROM programs WHERE id <> '' GROUP BY 1, 2),
 up AS (SELECT n.file_id, n.id, p.id AS parent FROM n LEFT JOIN n p ON p.file_id = n.file_id AND p.id = n.pp),
@@ -218,6 +230,6 @@ FROM d JOIN m USING (chrom_a, chrom_b) WHERE r = 1 GROUP BY 1, 2
 """
 
 ORACLE = {
-    "p2_found": P2, "p2_cells": P2_CELLS, "p3_found": P3, "p3_clean": P3_CLEAN, "p4_found": P4, "p4_descendants": P4_DESCENDANTS,
+    "p2_found": P2, "p2_cells": P2_CELLS, "p3_found": P3, "p3_clean": P3_CLEAN, "p3_cells": P3_CELLS, "p4_found": P4, "p4_descendants": P4_DESCENDANTS,
     "p5_found": P5, "p5_profile": P5_PROFILE,
 }

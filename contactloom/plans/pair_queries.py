@@ -64,6 +64,13 @@ def readid_transform(spark, d):
     return rowwise.transform_read_ids(derive.pairs(spark, d), 'readID.upper()[:12] + "_" + str(len(readID))').select("readID")
 
 
+@query("SELECT readid AS \"readID\", mapq1::VARCHAR AS mapq1, mapq2::DOUBLE AS mapq2, try_cast(pair_type AS BIGINT) AS pair_type FROM pairs WHERE mapq2::DOUBLE >= 30.5")
+def type_cast(spark, d):
+    casts = {"mapq1": "str", "mapq2": "float", "pair_type": "int"}
+    df = rowwise.cast_columns(derive.pairs(spark, d, "mapq1", "mapq2"), casts)
+    return rowwise.select(df, "mapq2 >= 30.5").select("readID", *casts)
+
+
 @query("SELECT readid AS read_name, chrom1 AS c1, pos1 AS p1, chrom2 AS c2, pos2 AS p2, strand1 AS s1, strand2 AS s2, pair_type AS pt FROM pairs")
 def set_columns(spark, d):
     return rowwise.rename_columns(derive.pairs(spark, d), ["read_name", "c1", "p1", "c2", "p2", "s1", "s2", "pt"]).drop("_ord")
@@ -324,9 +331,9 @@ def stats_full_summary(spark, d):
 NEAR = {"max": "abs(a.pos2 - b.pos2) <= {r}", "sum": "abs(a.pos1 - b.pos1) + abs(a.pos2 - b.pos2) <= {r}"}
 
 
-def _dedup_sql(r: int, method: str, more: str = "") -> str:
+def _dedup_sql(r: int, method: str, more: str = "", columns: str = "file_id") -> str:
     return f"""
-WITH RECURSIVE {P}, m AS (SELECT p.*, file_id FROM p JOIN pairs USING (pair_no) WHERE p.chrom1 <> '!' AND p.chrom2 <> '!'),
+WITH RECURSIVE {P}, m AS (SELECT p.*, {columns} FROM p JOIN pairs USING (pair_no) WHERE p.chrom1 <> '!' AND p.chrom2 <> '!'),
 e AS (SELECT a.pair_no AS x, b.pair_no AS y FROM m a JOIN m b ON a.chrom1 = b.chrom1 AND a.chrom2 = b.chrom2 AND a.strand1 = b.strand1
   AND a.strand2 = b.strand2 {more} AND b.pos1 BETWEEN a.pos1 - {r} AND a.pos1 + {r} AND {NEAR[method].format(r=r)}),
 reach(x, y) AS (SELECT x, x FROM e UNION SELECT q.x, e.y FROM reach q JOIN e ON q.y = e.x),
@@ -348,7 +355,19 @@ _dedup("dedup_fuzzy_max", _dedup_sql(3, "max"))
 _dedup("dedup_fuzzy_sum", _dedup_sql(3, "sum"), method="sum")
 _dedup("dedup_exact", _dedup_sql(0, "max"), max_mismatch=0)
 _dedup("dedup_extra_cols", _dedup_sql(3, "max", "AND a.file_id = b.file_id"), ("file_id",), extra_pairs=[("file_id", "file_id")])
-_dedup("dedup_greedy", None, backend="greedy")
+_dedup("dedup_column_pairs", _dedup_sql(3, "max", "AND a.pair_type = b.pair_type AND a.mapq1 IS NOT DISTINCT FROM b.mapq1", "file_id, mapq1"), ("mapq1",), extra_pairs=[("pair_type", "mapq1")])
+GREEDY = f"""
+WITH {P}, m AS (SELECT * FROM p WHERE chrom1 <> '!' AND chrom2 <> '!'),
+pt AS (SELECT chrom1, chrom2, strand1, strand2, pos1, pos2, min(pair_no) AS first FROM m GROUP BY ALL),
+g AS (SELECT chrom1, chrom2, strand1, strand2, list({{'p': pos1, 'q': pos2, 'f': first}} ORDER BY pos1, pos2) AS l FROM pt GROUP BY ALL),
+d AS (SELECT * EXCLUDE (l), unnest(l) AS x, list_reduce(list_transform(l, lambda x : [x]), lambda a, x : CASE WHEN
+  len(list_filter(a, lambda y : abs(y.p - x[1].p) <= 3 AND abs(y.q - x[1].q) <= 3)) > 0 THEN a ELSE a || x END) AS leaders FROM g),
+k AS (SELECT chrom1, chrom2, strand1, strand2, x.p AS pos1, x.q AS pos2,
+  list_filter(leaders, lambda y : abs(y.p - x.p) <= 3 AND abs(y.q - x.q) <= 3)[1].f AS kept FROM d)
+SELECT m."readID", m.pair_no, m.pair_no <> kept AS duplicate, o."readID" AS "parent_readID"
+FROM m JOIN k USING (chrom1, chrom2, strand1, strand2, pos1, pos2) JOIN p o ON o.pair_no = kept
+"""
+_dedup("dedup_greedy", GREEDY, backend="greedy")
 
 
 @query(f"WITH t AS ({_dedup_sql(3, 'max')}) SELECT sink, count(*)::BIGINT AS n FROM (SELECT CASE WHEN duplicate THEN 'dups' ELSE 'dedup' END AS sink FROM t UNION ALL SELECT 'unmapped' FROM pairs WHERE chrom1 = '!' OR chrom2 = '!') GROUP BY 1")
@@ -486,6 +505,19 @@ def scaling_dense(spark, d):
     return _scaling(spark, d).table(dense=True)
 
 
+@query(f"WITH {SCALED} SELECT round(sum(n_pairs)::DOUBLE / sum(n_bp2) * 1e15)::BIGINT AS pairs_in_1e15 FROM trans")
+def scaling_trans_density(spark, d):
+    return scaling.mean_trans_density(_scaling(spark, d).trans()).select(F.round(F.col("trans_density") * 1e15).cast("long").alias("pairs_in_1e15"))
+
+
+@query(f"""WITH {SCALED}, s AS (SELECT min_dist, max_dist, sum(n_pairs)::BIGINT AS n_pairs, sum((n_bp2 * 2)::HUGEINT)::DOUBLE / 2 AS n_bp2 FROM cis GROUP BY ALL),
+u AS (SELECT sum(n_pairs) / sum(n_bp2) AS unit FROM s WHERE min_dist >= 1000)
+SELECT min_dist, n_pairs, round(CASE WHEN n_bp2 > 0 THEN n_pairs / n_bp2 END / unit * 1e6)::BIGINT AS millionths FROM s, u""")
+def scaling_normalised(spark, d):
+    profile = scaling.by_strands(_scaling(spark, d).cis()).groupBy("min_dist", "max_dist").agg(F.sum("n_pairs").alias("n_pairs"), scaling.area_sum().alias("n_bp2"))
+    return scaling.normalised(profile).select("min_dist", "n_pairs", F.round(F.col("relative_density") * 1e6).cast("long").alias("millionths"))
+
+
 @query(f"""WITH {P}, b(lo, hi) AS (VALUES {_values(EDGES[:-1], EDGES[-1])}) SELECT chrom1, lo AS min_dist, count(*)::BIGINT AS n_pairs FROM p JOIN b ON abs(pos1 - pos2) >= lo AND abs(pos1 - pos2) < hi
  WHERE chrom1 = chrom2 GROUP BY ALL""")
 def scaling_whole_chroms(spark, d):
