@@ -16,6 +16,7 @@ from contactloom.runtime import Scratch, hot_limit, join_unique
 
 #: Width of a block of positions that is compared in one place, and points to a task.
 BLOCK, POINTS_PER_TASK = 4096, 100_000
+ENDS = ("chrom1", "pos1", "chrom2", "pos2", "strand1", "strand2")
 
 
 def _links(batch: pa.Table, reach: int, method: str) -> pa.Table:
@@ -32,6 +33,48 @@ def _links(batch: pa.Table, reach: int, method: str) -> pa.Table:
     return pa.table({"a": a, "b": b})
 
 
+def _placed(points: DataFrame, reach: int, tasks: int, *more: str) -> DataFrame:
+    """Points (key, _pa, _pb) in the blocks of their positions and, near a border, in the block before, so
+    that any two within reach meet in the block of the lesser of either position."""
+    blocks = lambda c: F.array_distinct(F.array(F.floor(c / BLOCK), F.floor((c - reach) / BLOCK)))
+    return (
+        points.select("key", F.col("_pa").alias("pa"), F.col("_pb").alias("pb"), *more)
+        .withColumn("ba", F.explode(blocks(F.col("pa"))))
+        .withColumn("bb", F.explode(blocks(F.col("pb"))))
+        .withColumn("task", F.pmod(F.xxhash64("key", "ba", "bb"), F.lit(tasks)))
+    )
+
+
+def _offsets(batch: pa.Table, reach: int) -> pa.Table:
+    key = batch["key"].combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    ba, bb, p, q, n = (batch[c].to_numpy() for c in ("ba", "bb", "pa", "pb", "n"))
+    counts = np.zeros((reach + 1, reach + 1), np.int64)
+    for i, j in cell_candidates(block_numbers(bb, ba, key), p - ba * BLOCK, q - bb * BLOCK, reach):
+        near = within(p[i] - p[j], q[i] - q[j], reach, "max")
+        # of the blocks in which a pair meets it counts in one
+        near &= (np.minimum(p[i], p[j]) // BLOCK == ba[i]) & (np.minimum(q[i], q[j]) // BLOCK == bb[i])
+        i, j = i[near], j[near]
+        np.add.at(counts, (np.abs(p[i] - p[j]), np.abs(q[i] - q[j])), n[i] * n[j])
+    own = (p // BLOCK == ba) & (q // BLOCK == bb)
+    counts[0, 0] += int((n[own] * (n[own] - 1) // 2).sum())
+    d1, d2 = np.nonzero(counts)
+    return pa.table({"d1": d1.astype(np.int64), "d2": d2.astype(np.int64), "n": counts[d1, d2]})
+
+
+def neighbour_offsets(df: DataFrame, reach: int = 3, columns: Sequence[str] = ENDS, unmapped: str = "!") -> DataFrame:
+    """(d1, d2, n): how many pairs of mapped rows with equal chromosomes and strands lie d1 and d2 apart on
+    their sides, of all that are at most reach apart on both. Rows alike are one point with a count, and
+    only counts leave a block, so no pair is ever a row. Rows with a null in these columns count as unmapped."""
+    c1, p1, c2, p2, s1, s2 = columns
+    scratch = Scratch(df.sparkSession, "offsets")
+    rows = df.filter(is_mapped(c1, c2, unmapped)).dropna(subset=list(columns))
+    key = F.concat_ws("\1", c1, c2, s1, s2).alias("key")
+    points = scratch.write(rows.groupBy(key, F.col(p1).cast("long").alias("_pa"), F.col(p2).cast("long").alias("_pb")).agg(F.count(F.lit(1)).alias("n")))
+    tasks = max(1, points.count() // POINTS_PER_TASK, df.sparkSession.sparkContext.defaultParallelism)
+    counts = _placed(points, reach, tasks, "n").groupBy("task").applyInArrow(lambda t: _offsets(t, reach), "d1 long, d2 long, n long")
+    return counts.groupBy("d1", "d2").agg(F.sum("n").alias("n"))
+
+
 class Dedup:
     """Clusters of mapped pairs that agree in chromosomes, strands and extra columns and whose
     positions differ by at most max_mismatch on each side (method max) or in sum (method sum).
@@ -53,7 +96,7 @@ class Dedup:
     def __init__(
         self, df: DataFrame, max_mismatch: int = 3, method: str = "max", backend: str = "transitive",
         order: Sequence[str] | None = None, extra_pairs: Sequence[tuple[str, str]] = (), read_id: str = "readID",
-        columns: Sequence[str] = ("chrom1", "pos1", "chrom2", "pos2", "strand1", "strand2"), unmapped: str = "!",
+        columns: Sequence[str] = ENDS, unmapped: str = "!",
     ):
         c1, p1, c2, p2, s1, s2 = columns
         self.df, self.read_id = df, read_id
@@ -81,13 +124,7 @@ class Dedup:
             return points.filter("n > 1").select(*self.point, "n", F.col("first").alias("_kept"))
         spark = self.df.sparkSession
         tasks = max(1, size["points"] // POINTS_PER_TASK, min(spark.sparkContext.defaultParallelism, size["points"] // 5000))
-        blocks = lambda c: F.array_distinct(F.array(F.floor(c / BLOCK), F.floor((c - reach) / BLOCK)))
-        placed = (
-            points.select(F.concat_ws("\1", *self.point[:-2]).alias("key"), F.col("_pa").alias("pa"), F.col("_pb").alias("pb"), "pid")
-            .withColumn("ba", F.explode(blocks(F.col("pa"))))
-            .withColumn("bb", F.explode(blocks(F.col("pb"))))
-            .withColumn("task", F.pmod(F.xxhash64("key", "ba", "bb"), F.lit(tasks)))
-        )
+        placed = _placed(points.withColumn("key", F.concat_ws("\1", *self.point[:-2])), reach, tasks, "pid")
         links = placed.groupBy("task").applyInArrow(lambda t: _links(t, reach, method), "a long, b long")
         roots = contract(links, self.scratch).withColumnRenamed("vertex", "pid")
         joined = self.scratch.write(points.join(roots, "pid", "left").filter("n > 1 or root is not null"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from contactloom.functions.bins import geometric_edges, stats_edges
 from contactloom.operators import coverage, intervals, order, rowwise, scaling, stats
-from contactloom.operators.dedup import Dedup
+from contactloom.operators.dedup import Dedup, neighbour_offsets
 from contactloom.operators.parse import all_alignments, parse_sam
 from contactloom.operators.walks import POLICIES, WalkOptions
 from contactloom.plans import derive, walk_sql
@@ -388,6 +388,13 @@ def duplicate_offsets(spark, d):
     return off.groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(f"""WITH {P}, m AS (SELECT * FROM p WHERE chrom1 <> '!' AND chrom2 <> '!') SELECT abs(a.pos1 - b.pos1) AS d1, abs(a.pos2 - b.pos2) AS d2, count(*)::BIGINT AS n
+FROM m a JOIN m b ON a.chrom1 = b.chrom1 AND a.chrom2 = b.chrom2 AND a.strand1 = b.strand1 AND a.strand2 = b.strand2 AND a.pair_no < b.pair_no
+WHERE abs(a.pos1 - b.pos1) <= 100 AND abs(a.pos2 - b.pos2) <= 100 GROUP BY 1, 2""")
+def neighbour_distances(spark, d):
+    return neighbour_offsets(derive.pairs(spark, d), 100)
+
+
 # --- coverage, fragments, regions ----------------------------------------------------------------
 
 def _cov_sql(dist: int, cov: int, method: str) -> str:
