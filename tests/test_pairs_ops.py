@@ -247,8 +247,8 @@ def test_scaling(frame):
     regions = frame([("chr1", 0, 100), ("chr2", 0, 30)], "chrom string, start long, end long")
     dense = scaling.Scaling(frame(rows, PAIRS), regions)
     cis = dense.cis(dense=True)
-    assert cis.agg(F.sum("n_pairs")).first()[0] == 1 and cis.count() == 4 * 70
-    assert cis.filter("min_dist = 42").first().n_bp2 == 0.5 * (58**2 - 44**2)
+    assert cis.agg(F.sum("n_pairs")).first()[0] == 1 and cis.count() == 2 * 4 * 70  # the region without pairs too
+    assert cis.filter("min_dist = 42 and chrom1 = 'chr1'").first().n_bp2 == 0.5 * (58**2 - 44**2)
     trans = dense.trans(dense=True)
     assert trans.count() == 8 and trans.agg(F.sum("n_pairs")).first()[0] == 1 and trans.first().n_bp2 == 3000
 
